@@ -81,3 +81,5 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (p1_found, p1_fills, p1_filled, p4_found, p4_objects, p4_bridge, p5_found, p5_report, p6_found)}
+
+SQL: dict[str, str] = {}

@@ -21,6 +21,7 @@ def build_session(app: str = "turnwright", master: str | None = None, cores: int
             .config("spark.driver.memory", "8g")
             .config("spark.sql.shuffle.partitions", str(cores))
             .config("spark.ui.enabled", "false")
+            .config("spark.ui.showConsoleProgress", "false")
         )
     return (
         b.config("spark.sql.session.timeZone", "UTC")
