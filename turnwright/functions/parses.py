@@ -83,27 +83,26 @@ def _some(x) -> list:
     return x if isinstance(x, list) else [] if x is None else [x]
 
 
-def identify(nodes: list[Node]) -> tuple[list[bytes], list[int], list[int], bytes]:
-    """Bottom-up identity, size and height of each node, and the identity of the whole text.
+def identify(nodes: list[Node]) -> tuple[list[bytes], list[int], bytes]:
+    """Bottom-up identity and height of each node, and the identity of the whole text.
 
     Equal names, values, confidences and equal children in equal order give the same 16 bytes.
     """
     n = len(nodes)
     ids: list[bytes] = [b""] * n
-    size, height = [1] * n, [1] * n
+    height = [1] * n
     for i in range(n - 1, -1, -1):
         x = nodes[i]
-        own = json.dumps([x.name, x.value, x.conf], sort_keys=True, ensure_ascii=False).encode("utf-8", "surrogatepass")
-        h = blake2b(own, digest_size=16)
+        value = json.dumps(x.value, sort_keys=True) if isinstance(x.value, (dict, list)) else x.value
+        h = blake2b(f"{x.name!r} {value!r} {x.conf!r}".encode("utf-8", "surrogatepass"), digest_size=16)
         if x.kids:
             h.update(b"\x00")
             for k in x.kids:
                 h.update(ids[k])
-                size[i] += size[k]
                 height[i] = max(height[i], height[k] + 1)
         ids[i] = h.digest()
     whole = blake2b(b"whole", digest_size=16)
     for i in range(n):
         if nodes[i].parent < 0:
             whole.update(ids[i])
-    return ids, size, height, whole.digest()
+    return ids, height, whole.digest()

@@ -18,51 +18,54 @@ REMEMBERED = 50_000
 
 _CHILD = "struct<hash: binary, name: string, leaf: boolean, place: int>"
 _ROWS = f"row_id bigint, hash binary, name string, value string, conf double, height int, children array<{_CHILD}>"
-_ARROW = pa.schema([
-    ("row_id", pa.int64()), ("hash", pa.binary()), ("name", pa.string()), ("value", pa.string()), ("conf", pa.float64()), ("height", pa.int32()),
-    ("children", pa.list_(pa.struct([("hash", pa.binary()), ("name", pa.string()), ("leaf", pa.bool_()), ("place", pa.int32())]))),
-])
+_KINDS = {"row_id": pa.int64(), "hash": pa.binary(), "name": pa.string(), "value": pa.string(), "conf": pa.float64(), "height": pa.int32()}
+_CHILD_KINDS = {"hash": pa.binary(), "name": pa.string(), "leaf": pa.bool_(), "place": pa.int32()}
+
+
+def _batch(rows: list[tuple], children: list[tuple], ends: list[int]) -> pa.RecordBatch:
+    cols = [pa.array(x, type=k) for x, k in zip(zip(*rows, strict=True) if rows else [()] * len(_KINDS), _KINDS.values(), strict=True)]
+    kids = [pa.array(x, type=k) for x, k in zip(zip(*children, strict=True) if children else [()] * len(_CHILD_KINDS), _CHILD_KINDS.values(), strict=True)]
+    lists = pa.ListArray.from_arrays(pa.array(ends, type=pa.int32()), pa.StructArray.from_arrays(kids, names=list(_CHILD_KINDS)))
+    return pa.RecordBatch.from_arrays([*cols, lists], names=[*_KINDS, "children"])
 
 
 def _objects(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row (row_id, hash) for each text with nodes, and the objects that this task hasn't sent yet."""
     texts: dict[str, bytes] = {}
     seen: set[bytes] = set()
     for batch in batches:
-        out: dict[str, list] = {n: [] for n in _ARROW.names}
-
-        def put(row_id, h, name=None, value=None, conf=None, height=None, children=None, out=out):
-            for k, v in zip(_ARROW.names, (row_id, h, name, value, conf, height, children), strict=True):
-                out[k].append(v)
-
+        rows: list[tuple] = []
+        children: list[tuple] = []
+        ends = [0]
         for row_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             whole = texts.get(text)
             if whole is None:
                 nodes = read(text)
                 if not nodes:
                     continue
-                ids, size, height, whole = identify(nodes)
-
-                def bridge(kids, base, nodes=nodes, ids=ids):
-                    return [{"hash": ids[k], "name": nodes[k].name, "leaf": not nodes[k].kids, "place": k - base} for k in kids]
-
+                ids, height, whole = identify(nodes)
                 if whole not in seen:
-                    roots = [i for i, x in enumerate(nodes) if x.parent < 0]
-                    put(None, whole, height=1 + max(height[i] for i in roots), children=bridge(roots, -1))
                     seen.add(whole)
+                    roots = [i for i, x in enumerate(nodes) if x.parent < 0]
+                    children += [(ids[k], nodes[k].name, not nodes[k].kids, k + 1) for k in roots]
+                    rows.append((None, whole, None, None, None, 1 + max(height[i] for i in roots)))
+                    ends.append(len(children))
                 for i, x in enumerate(nodes):
                     if ids[i] not in seen:
                         seen.add(ids[i])
                         v = x.value if x.value is None or isinstance(x.value, str) else json.dumps(x.value, ensure_ascii=False)
-                        c = float(x.conf) if isinstance(x.conf, (int, float)) else None
-                        put(None, ids[i], x.name, v, c, height[i], bridge(x.kids, i))
+                        children += [(ids[k], nodes[k].name, not nodes[k].kids, k - i) for k in x.kids]
+                        rows.append((None, ids[i], x.name, v, float(x.conf) if isinstance(x.conf, (int, float)) else None, height[i]))
+                        ends.append(len(children))
                 if len(texts) >= REMEMBERED:
                     texts.clear()
                 if len(seen) >= 8 * REMEMBERED:
                     seen.clear()
                 if len(text) < 4096:
                     texts[text] = whole
-            put(row_id, whole)
-        yield pa.RecordBatch.from_pydict(out, schema=_ARROW)
+            rows.append((row_id, whole, None, None, None, None))
+            ends.append(len(children))
+        yield _batch(rows, children, ends)
 
 
 class NestedTables:
@@ -88,21 +91,26 @@ class NestedTables:
         )
 
     def occurrences(self) -> DataFrame:
-        """(row_id, node_no, parent_no, node_name) of every node of every row, read back from the distinct objects through the bridge."""
+        """(row_id, node_no, parent_no, node_name) of every node of every row, read back from the distinct objects through the bridge.
+
+        Level by level the children of the distinct whole records are looked up; leaves are named by the bridge and need no look-up. Only
+        then are the nodes of a whole record given to the rows that hold it.
+        """
         deepest = self._both.agg(F.max("height")).first()[0] or 1
-        inner = stage(self.objects.where(F.size("children") > 0).select("hash", "name", "children"), "p4-inner")
-        at = inner.where("name is null").select(F.col("hash").alias("whole"), F.lit(0).alias("base"), "children")
-        inner = inner.where("name is not null").select("hash", "children")
+        child = lambda c: F.struct(F.when(~c["leaf"], c["hash"]).alias("hash"), c["name"].alias("name"), c["place"].alias("place"))
+        inner = self._both.where(F.col("row_id").isNull() & (F.size("children") > 0)).select("hash", F.col("name").isNull().alias("top"), F.transform("children", child).alias("children"))
+        inner = stage(inner.dropDuplicates(["hash"]), "p4-inner")
+        at = inner.where("top").select(F.col("hash").alias("whole"), F.lit(0).alias("base"), "children")
+        inner = inner.where("not top").select("hash", "children")
         levels: list[DataFrame] = []
         for level in range(1, deepest):
             now = at.select("whole", F.col("base").alias("parent_no"), F.explode("children").alias("c"))
-            now = now.select("whole", (F.col("parent_no") + F.col("c.place")).alias("node_no"), "parent_no", F.col("c.name").alias("node_name"), F.col("c.hash").alias("hash"), F.col("c.leaf").alias("leaf"))
+            now = now.select("whole", (F.col("parent_no") + F.col("c.place")).alias("node_no"), "parent_no", F.col("c.name").alias("node_name"), F.col("c.hash").alias("hash"))
             if level % 12 == 0:  # very deep records: don't let the plan grow with the depth
                 now = stage(now, "p4-level")
-            levels.append(now.select("whole", "node_no", "parent_no", "node_name"))
-            at = now.where("not leaf").select("whole", F.col("node_no").alias("base"), "hash").join(inner, "hash").select("whole", "base", "children")
+            levels.append(now.select(F.col("whole").alias("hash"), "node_no", "parent_no", "node_name"))
+            at = now.where("hash is not null").select("whole", F.col("node_no").alias("base"), "hash").join(inner, "hash").select("whole", "base", "children")
         nodes = levels[0]
         for x in levels[1:]:
             nodes = nodes.unionByName(x)
-        nodes = nodes.groupBy("whole").agg(F.collect_list(F.struct("node_no", "parent_no", "node_name")).alias("nodes")).withColumnRenamed("whole", "hash")
-        return salted_join(self.rows, nodes, "hash").select("row_id", F.explode("nodes").alias("n")).select("row_id", "n.*")
+        return salted_join(self.rows, nodes, "hash").select("row_id", "node_no", "parent_no", "node_name")

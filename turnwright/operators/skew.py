@@ -20,7 +20,7 @@ def salted_join(big: DataFrame, small: DataFrame, on: str, how: str = "inner", h
     counts = big.where(F.col(on).isNotNull()).groupBy(on).count().where(F.col("count") > hot_rows)
     hot = counts.orderBy(F.desc("count"), on).limit(MOST_HOT).select(on, F.lit(True).alias("_hot"))
     wide = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
-    right = small.join(hot, on, "left").withColumn("_salt", F.explode(wide)).drop("_hot")
+    right = small.join(F.broadcast(hot), on, "left").withColumn("_salt", F.explode(wide)).drop("_hot")
     cols = [F.col(c) for c, t in big.dtypes if not t.startswith("map")]
     salt = F.when(F.col("_hot") | F.col(on).isNull(), F.pmod(F.xxhash64(*cols), F.lit(salts)).cast("int")).otherwise(0)
     left = big.join(F.broadcast(hot), on, "left").withColumn("_salt", salt).drop("_hot")
