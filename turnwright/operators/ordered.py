@@ -13,10 +13,10 @@ from pyspark.sql.window import Window
 
 
 def running(df: DataFrame, part: list[str], block: str, order: list[str], value: Column, how: str, name: str, inclusive: bool = False, reverse: bool = False) -> DataFrame:
-    """Add name: 'max' or 'last' (non-null) of value over the rows before each row of its part, in the given order.
+    """Add name: 'max', 'sum' or 'last' (non-null) of value over the rows before each row of its part, in the given order.
 
     order holds column names without nulls that order the rows totally; block must not decrease along it. With inclusive the row itself counts;
-    with reverse the rows after it are taken. Parts and blocks must not be null. No earlier value: null.
+    with reverse the rows after it are taken. Parts and blocks must not be null. No earlier value: null, or 0 for a sum.
     """
     keys = [*part, block]
     by = [F.col(c).desc() if reverse else F.col(c).asc() for c in order]
@@ -32,11 +32,17 @@ def running(df: DataFrame, part: list[str], block: str, order: list[str], value:
         local = F.last(value, ignorenulls=True).over(w)
         pick = (F.min if reverse else F.max)(F.when(value.isNotNull(), at))
         of_block, carry = pick["_v"], F.last("_of", ignorenulls=True).over(wb)
+    elif how == "sum":
+        local, of_block = F.sum(value).over(w), F.sum(value)
+        carry = F.sum("_of").over(wb)
     else:
         raise ValueError(how)
     sums = df.groupBy(*keys).agg(of_block.alias("_of")).withColumn("_carry", carry).drop("_of").where("_carry is not null")
     out = df.withColumn("_local", local).join(sums, keys, "left")
-    both = F.greatest("_local", "_carry") if how == "max" else F.coalesce("_local", "_carry")
+    if how == "sum":
+        both = F.coalesce("_local", F.lit(0)) + F.coalesce("_carry", F.lit(0))
+    else:
+        both = F.greatest("_local", "_carry") if how == "max" else F.coalesce("_local", "_carry")
     return out.withColumn(name, both).drop("_local", "_carry")
 
 
@@ -50,3 +56,8 @@ def fill_ordered(df: DataFrame, ordinal: str, value: str, name: str, group: str
         return running(d, [], "_b", [ordinal], F.col(value), "last", name, inclusive=True, reverse=not forward).drop("_b")
     d = d.withColumn("_g", F.coalesce(F.col(group).cast("string"), F.concat(F.lit("\u0000"), F.col(ordinal).cast("string"))))
     return running(d, ["_g"], "_b", [ordinal], F.col(value), "last", name, inclusive=True, reverse=not forward).drop("_b", "_g")
+
+
+def position(df: DataFrame, part: list[str], block: str, order: list[str], name: str) -> DataFrame:
+    """Add name: how many rows of the part come before, as row_number() - 1 does within one task."""
+    return running(df, part, block, order, F.lit(1).cast("bigint"), "sum", name)
