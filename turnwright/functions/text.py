@@ -102,7 +102,7 @@ def ratio(a: str, b: str) -> float:
     return 100.0 if n == 0 else 200.0 * lcs(a, b) / n
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def similarity(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([None if x is None or y is None else ratio(x, y) for x, y in zip(a, b, strict=True)], dtype="float64")
 

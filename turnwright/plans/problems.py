@@ -10,6 +10,7 @@ from turnwright.operators.intervals import periods_and_gaps
 from turnwright.operators.nested import NestedTables
 from turnwright.operators.propagation import apply_fills, propagate
 from turnwright.operators.references import orphan_report, orphans
+from turnwright.plans import sqltext as S
 
 
 def table(spark: SparkSession, d: str, name: str) -> DataFrame:
@@ -82,4 +83,16 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (p1_found, p1_fills, p1_filled, p4_found, p4_objects, p4_bridge, p5_found, p5_report, p6_found)}
 
-SQL: dict[str, str] = {}
+_refs = " union all ".join(f"select '{t}' as table_name, {k} as row_id, {S.cid('CallID')} as c, {at} as ts from (select distinct on ({k}) * from {t})" for t, (k, at) in REFERRING.items())
+_spans = f"(select {S.cid('CallID')} as c, {S.MS('StartTime')} as s, {S.MS('EndTime')} as t from validated_user_transcript)"
+
+SQL: dict[str, str] = {
+    "p1_found": f"select log_id, 'CallID' as field_name from {S.LOG} where {S.cid('CallID')} is null union all select log_id, 'DD' from {S.LOG} where {S.secs('DD')} is null",
+    "p5_found": f"""select table_name, row_id, case when c not in (select filecode from audio_inventory where filecode is not null) then 'missing'
+ when exists (select 1 from audio_inventory where filecode = c and registered_at <= ts) then 'deleted' else 'late' end as orphan_kind from ({_refs}) r
+ where c is not null and not exists (select 1 from audio_inventory where filecode = c and registered_at <= ts and (deleted_at is null or ts < deleted_at))""",
+    "p6_found": f"""with i as (select * from {_spans} where c is not null and t > s), m as (select *, max(t) over (partition by c order by s, t rows between unbounded preceding and 1 preceding) as u from i),
+ g as (select *, count(*) filter (where u is null or s > u) over (partition by c order by s, t rows unbounded preceding) as k from m), p as (select c, k, min(s) as s, max(t) as t from g group by c, k),
+ n as (select *, lead(s) over (partition by c order by s) as f from p)
+ select c as call_id, 'period' as span_kind, s as start_ms, t as end_ms from n union all select c, 'gap', t, f from n where f is not null""",
+}
