@@ -83,8 +83,8 @@ def _some(x) -> list:
     return x if isinstance(x, list) else [] if x is None else [x]
 
 
-def identify(nodes: list[Node]) -> tuple[list[bytes], list[int], bytes]:
-    """Bottom-up identity and height of each node, and the identity of the whole text.
+def identify(nodes: list[Node]) -> tuple[list[bytes], list[int]]:
+    """Bottom-up identity and height of each node.
 
     Equal names, values, confidences and equal children in equal order give the same 16 bytes.
     """
@@ -101,8 +101,4 @@ def identify(nodes: list[Node]) -> tuple[list[bytes], list[int], bytes]:
                 h.update(ids[k])
                 height[i] = max(height[i], height[k] + 1)
         ids[i] = h.digest()
-    whole = blake2b(b"whole", digest_size=16)
-    for i in range(n):
-        if nodes[i].parent < 0:
-            whole.update(ids[i])
-    return ids, height, whole.digest()
+    return ids, height
