@@ -16,6 +16,9 @@ from pyspark.sql import functions as F
 from turnwright.operators.skew import salted_join
 from turnwright.session import stage
 
+#: How many votes per class the types of an annotator count for beside its own.
+STRENGTH = 20.0
+
 
 def digamma(x: np.ndarray) -> np.ndarray:
     """The digamma function for positive x: recurrence to at least 6, then the asymptotic series."""
@@ -29,13 +32,17 @@ def digamma(x: np.ndarray) -> np.ndarray:
     return out + np.log(x) - 0.5 / x - y * (1 / 12 - y * (1 / 120 - y / 252))
 
 
-def first_types(k: int) -> np.ndarray:
-    """Matrices to start from: sharp, loose, strict, mild, indifferent and contrary types, and one that always says c for each class c."""
+def first_types(k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Matrices to start from and how firmly each is held: sharp, loose, strict, mild and contrary types, which learn from their members, and
+    types whose labels say nothing, indifferent or always c for each class c. Those stay what they are, or the average annotator would turn
+    the indifferent type into its own likeness and all would end up in it."""
     i = np.arange(k)
     d = i[None, :] - i[:, None]
-    kinds = [np.exp(-2.0 * abs(d)), np.exp(-0.8 * abs(d)), np.exp(-2.0 * abs(d + 1)), np.exp(-2.0 * abs(d - 1)), np.ones((k, k)), np.exp(-2.0 * abs(i[None, :] - (k - 1 - i)[:, None]))]
-    kinds += [np.tile(np.where(i == c, 20.0, 1.0), (k, 1)) for c in range(k)]
-    return np.stack([m / m.sum(1, keepdims=True) for m in kinds])
+    kinds = [np.exp(-1.6 * abs(d)), np.exp(-0.8 * abs(d)), np.exp(-1.2 * abs(d + 1)), np.exp(-1.2 * abs(d - 1)), np.exp(-1.2 * abs(i[None, :] - (k - 1 - i)[:, None]))]
+    learn = len(kinds)
+    kinds += [np.ones((k, k))] + [np.tile(np.where(i == c, 20.0, 1.0), (k, 1)) for c in range(k)]
+    firm = np.where(np.arange(len(kinds)) < learn, 10.0, 1e6)
+    return np.stack([m / m.sum(1, keepdims=True) for m in kinds]), firm[:, None, None]
 
 
 class Consensus:
@@ -54,7 +61,7 @@ def pattern_of(votes: Column) -> Column:
     return F.when(F.size(votes) > 0, F.array_join(F.transform(F.array_sort(votes), lambda v: F.concat_ws(":", v["a"].cast("string"), v["l"].cast("string"))), "|"))
 
 
-def fit(items: DataFrame, votes: str, classes: list[int], most_rounds: int = 12, tolerance: float = 2e-3, prior: float = 10.0) -> Consensus:
+def fit(items: DataFrame, votes: str, classes: list[int], most_rounds: int = 12, tolerance: float = 5e-3) -> Consensus:
     """Fit the model to items, whose column votes is array<struct<a: bigint, l: int>> with l among classes.
 
     Items with equal votes are counted together first, so each round runs over distinct sets of votes. An annotator who holds a third of all
@@ -65,43 +72,36 @@ def fit(items: DataFrame, votes: str, classes: list[int], most_rounds: int = 12,
     pat = v.groupBy("pattern").agg(F.count(F.lit(1)).alias("n"), F.first("v").alias("v"))
     labels = stage(pat.select("pattern", "n", F.explode("v").alias("x")).select("pattern", "n", F.col("x.a").alias("a"), F.col("x.l").alias("l")), "p2-votes")
     ks = [f"q{c}" for c in range(k)]
-    types = first_types(k)
-    m = len(types)
-    shares = labels.groupBy("pattern", "n")
-    first = shares.agg(*[(F.avg((F.col("l") == c).cast("double")) + 0.2).alias(q) for c, q in zip(classes, ks, strict=True)])
-    total = sum(F.col(q) for q in ks)
+    total = sum((F.col(q) for q in ks), F.lit(0.0))
+    types, firm = first_types(k)
+    alpha, mu = types * firm + 0.1, np.full(len(types), 1.0 / len(types))
+    first = labels.groupBy("pattern", "n").agg(*[F.pow(F.avg((F.col("l") == c).cast("double")) + 0.1, 2).alias(q) for c, q in zip(classes, ks, strict=True)])
     post = first.select("pattern", "n", *[(F.col(q) / total).alias(q) for q in ks])
-    alpha = types * prior + 0.1
-    mu = np.full(m, 1.0 / m)
-    rounds = 0
-    while True:
-        n_a = labels.join(post.drop("n"), "pattern").groupBy("a", "l").agg(*[F.sum(F.col("n") * F.col(q)).alias(q) for q in ks], F.sum("n").alias("n"))
-        counts = stage(n_a, "p2-counts")
-        if rounds == most_rounds:
-            break
+    for rounds in range(1, most_rounds + 1):
+        rated = _rated(labels, post, ks)
         ln_c = digamma(alpha) - digamma(alpha.sum(2, keepdims=True))
-        rated = counts.groupBy("a").agg(F.collect_list(F.struct("l", F.array(*ks).alias("q"))).alias("c"))
-        sums, weight, prior_q = _type_sums(rated, classes, ln_c, np.log(mu))
-        fresh = types * prior + 0.1 + sums
+        sums, weight, true = _type_sums(rated, classes, ln_c, np.log(mu))
+        fresh = types * firm + 0.1 + sums
         moved = np.abs(fresh / fresh.sum(2, keepdims=True) - alpha / alpha.sum(2, keepdims=True)).max()
-        alpha, mu, rounds = fresh, (weight + 1) / (weight + 1).sum(), rounds + 1
-        ln_c = digamma(alpha) - digamma(alpha.sum(2, keepdims=True))
-        pi = (prior_q + 1) / (prior_q + 1).sum()
-        w = rated.mapInPandas(_weigher(classes, ln_c, np.log(mu)), "a bigint, l int, " + ", ".join(f"w{c} double" for c in range(k)))
+        model = (ln_c, np.log(mu), fresh / fresh.sum(2, keepdims=True))
+        alpha, mu, pi = fresh, (weight + 1) / (weight + 1).sum(), (true + 1) / (true + 1).sum()
+        w = rated.mapInPandas(_weigher(classes, *model), "a bigint, l int, " + ", ".join(f"w{c} double" for c in range(k)))
         score = labels.join(w, ["a", "l"]).groupBy("pattern", "n").agg(*[(F.sum(f"w{c}") + float(np.log(pi[c]))).alias(f"s{c}") for c in range(k)])
-        top = F.greatest(*[F.col(f"s{c}") for c in range(k)]) if k > 1 else F.col("s0")
-        score = score.withColumn("top", top).select("pattern", "n", *[F.exp(F.col(f"s{c}") - F.col("top")).alias(q) for c, q in enumerate(ks)])
+        score = score.withColumn("top", F.greatest(*[F.col(f"s{c}") for c in range(k)], F.lit(float("-inf"))))
+        score = score.select("pattern", "n", *[F.exp(F.col(f"s{c}") - F.col("top")).alias(q) for c, q in enumerate(ks)])
         post = stage(score.select("pattern", "n", *[(F.col(q) / total).alias(q) for q in ks]), "p2-posterior")
         if moved < tolerance:
-            most_rounds = rounds
-    rated = counts.groupBy("a").agg(F.collect_list(F.struct("l", F.array(*ks).alias("q"))).alias("c"), F.sum("n").alias("n_votes"))
-    if rounds == 0:
-        pi = np.full(k, 1.0 / k)
-        ln_c = np.log(types)
-    annotators = rated.mapInPandas(_judge(classes, ln_c, alpha, np.log(mu), pi), "annotator bigint, n_votes bigint, reliability double, type_no int")
+            break
+    annotators = _rated(labels, post, ks).mapInPandas(_judge(classes, *model, pi), "annotator bigint, n_votes bigint, reliability double, type_no int")
     return Consensus(classes, post.select("pattern", F.array(*ks).alias("q")), annotators, rounds)
 
 
+def _rated(labels: DataFrame, post: DataFrame, ks: list[str]) -> DataFrame:
+    """(a, n_votes, c): for each annotator the expected counts of the true classes behind each of its labels."""
+    n = labels.join(post.drop("n"), "pattern").groupBy("a", "l").agg(*[F.sum(F.col("n") * F.col(q)).alias(q) for q in ks], F.sum("n").alias("n"))
+    return stage(n.groupBy("a").agg(F.sum("n").alias("n_votes"), F.collect_list(F.struct("l", F.array(*ks).alias("q"))).alias("c")), "p2-counts")
+
+
 def _matrix(cells, classes: list[int]) -> np.ndarray:
     """Expected counts [true class, label] of one annotator."""
     out = np.zeros((len(classes), len(classes)))
@@ -136,31 +136,35 @@ def _type_sums(rated: DataFrame, classes: list[int], ln_c: np.ndarray, ln_mu: np
     return x[: m * k * k].reshape(m, k, k), x[m * k * k : m * k * k + m], x[m * k * k + m :]
 
 
-def _weigher(classes: list[int], ln_c: np.ndarray, ln_mu: np.ndarray):
-    """What a label of an annotator says about each true class, on average over the types that the annotator may be."""
+def _own(n: np.ndarray, ln_c: np.ndarray, ln_mu: np.ndarray, shared: np.ndarray, strength: float) -> tuple[np.ndarray, np.ndarray]:
+    """An annotator's part in each type, and the Dirichlet of its matrix: that of its types, worth strength votes per class, plus its own."""
+    r = _belongs(n, ln_c, ln_mu)
+    return r, np.tensordot(r, shared, 1) * strength + n + 0.01
+
+
+def _weigher(classes: list[int], ln_c: np.ndarray, ln_mu: np.ndarray, shared: np.ndarray, strength: float = STRENGTH):
+    """What a label of an annotator says about each true class."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
             rows = []
             for a, cells in zip(f["a"], f["c"], strict=True):
-                w = np.tensordot(_belongs(_matrix(cells, classes), ln_c, ln_mu), ln_c, 1)
+                _, own = _own(_matrix(cells, classes), ln_c, ln_mu, shared, strength)
+                w = digamma(own) - digamma(own.sum(1, keepdims=True))
                 rows += [(a, c, *w[:, j]) for j, c in enumerate(classes)]
             yield pd.DataFrame(rows, columns=["a", "l", *[f"w{c}" for c in range(len(classes))]])
 
     return run
 
 
-def _judge(classes: list[int], ln_c: np.ndarray, alpha: np.ndarray, ln_mu: np.ndarray, pi: np.ndarray, strength: float = 20.0):
-    shared = alpha / alpha.sum(2, keepdims=True)
+def _judge(classes: list[int], ln_c: np.ndarray, ln_mu: np.ndarray, shared: np.ndarray, pi: np.ndarray, strength: float = STRENGTH):
     y = np.asarray(classes, dtype=float)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
             rows = []
             for a, cells, votes in zip(f["a"], f["c"], f["n_votes"], strict=True):
-                n = _matrix(cells, classes)
-                r = _belongs(n, ln_c, ln_mu)
-                own = np.tensordot(r, shared, 1) * strength + n
+                r, own = _own(_matrix(cells, classes), ln_c, ln_mu, shared, strength)
                 joint = pi[:, None] * own / own.sum(1, keepdims=True)
                 px, py = joint.sum(1), joint.sum(0)
                 mx, my = px @ y, py @ y
@@ -186,7 +190,7 @@ def consensus(items: DataFrame, votes: str, classes: list[int], **options) -> tu
     n = F.size(votes)
     same = sum((F.pow(F.size(F.filter(votes, lambda v, c=c: v["l"] == c)), 2) for c in classes), F.lit(0.0))
     d = d.withColumns({
-        "consensus": F.element_at(F.array(*[F.lit(c) for c in classes]), F.array_position("_q", best).cast("int")),
+        "consensus": F.when(best.isNotNull(), F.get(F.array(*[F.lit(c) for c in classes]), F.array_position("_q", best).cast("int") - 1)),
         "certainty": best,
         "agreement": F.when(n > 1, (same - n) / (n * (n - 1))),
     })

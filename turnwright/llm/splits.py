@@ -45,9 +45,13 @@ def place(vectors: np.ndarray, need: np.ndarray) -> np.ndarray:
     """Grouped iterative stratification: the split of each row of vectors (label counts); need [split, label] is used up in place.
 
     Again and again the label with the fewest rows outstanding is taken; components that hold it, most of it first, go to the split that
-    needs it most (then: that needs most rows, then: the first).
+    needs the largest part of its own share of it. Need is relative, or the largest split would take all components rich in the label and so
+    too few components. Splits that the component itself would bring level count as equal: of them the one takes it that needs the largest
+    part of its rows, else the first.
     """
     n, labels = vectors.shape
+    share = np.maximum(need, 1e-9)
+    part = share.sum(1)
     split = np.full(n, -1)
     out = vectors.sum(0).astype(float)
     while True:
@@ -57,9 +61,9 @@ def place(vectors: np.ndarray, need: np.ndarray) -> np.ndarray:
         j = min(open_, key=lambda x: (out[x], x))
         rows = np.flatnonzero((split < 0) & (vectors[:, j] > 0))
         for i in rows[np.argsort(-vectors[rows, j], kind="stable")]:
-            want = need[:, j]
-            best = np.flatnonzero(want >= want.max() - 1e-9)
-            s = best[np.argmax(need[best].sum(1))]
+            want = need[:, j] / share[:, j]
+            best = np.flatnonzero(want + vectors[i, j] / share[:, j] >= want.max())
+            s = best[np.argmax(need[best].sum(1) / part[best])]
             split[i] = s
             need[s] -= vectors[i]
             out -= vectors[i]
