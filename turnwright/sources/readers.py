@@ -67,7 +67,10 @@ def audio_reason(exists: Column, size: Column, frames: Column) -> Column:
 
 
 def read_audio(spark: SparkSession, path: str) -> DataFrame:
-    """(path, filecode, size, frames, reason) of the WAV files below a folder; the header gives the frames, the samples are not decoded."""
+    """(path, filecode, size, frames, reason) of the WAV files below a folder; the header gives the frames, the samples are not decoded.
+
+    Spark doesn't list files without a byte: join the inventory to the result, a call without a row has no usable recording.
+    """
     d = spark.read.format("binaryFile").option("pathGlobFilter", "*.wav").option("recursiveFileLookup", True).load(path)
     number = lambda at, n: sum((F.conv(F.hex(F.substring("content", at + i, 1)), 16, 10).cast("bigint") * (1 << (8 * i)) for i in range(n)), F.lit(0).cast("bigint"))
     is_wav = (F.col("length") >= 44) & (F.hex(F.substring("content", 1, 4)) == "52494646")
@@ -78,7 +81,7 @@ def read_audio(spark: SparkSession, path: str) -> DataFrame:
 
 def read_config(spark: SparkSession, path: str, n: int) -> list[str]:
     """The fields of the nth line (from 1) of a space-separated file."""
-    lines = spark.read.option("wholetext", True).text(path).first()
+    lines = spark.read.text(path, wholetext=True).first()
     rows = lines[0].split("\n") if lines else []
     if not 1 <= n <= len(rows):
         raise IndexError(f"{path} has no line {n}")
