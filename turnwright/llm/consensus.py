@@ -188,7 +188,8 @@ def consensus(items: DataFrame, votes: str, classes: list[int], **options) -> tu
     d = salted_join(items.withColumn("_pattern", pattern_of(F.col(votes))), q, "_pattern", "left")
     best = F.array_max("_q")
     n = F.size(votes)
-    same = sum((F.pow(F.size(F.filter(votes, lambda v, c=c: v["l"] == c)), 2) for c in classes), F.lit(0.0))
+    given = F.transform(votes, lambda v: v["l"])
+    same = sum((F.pow(n - F.size(F.array_remove(given, c)), 2) for c in classes), F.lit(0.0))
     d = d.withColumns({
         "consensus": F.when(best.isNotNull(), F.get(F.array(*[F.lit(c) for c in classes]), F.array_position("_q", best).cast("int") - 1)),
         "certainty": best,
