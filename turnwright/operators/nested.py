@@ -10,7 +10,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from turnwright.functions.parses import identify, read
-from turnwright.session import stage
+from turnwright.operators.skew import salted_join
+from turnwright.session import release, stage
 
 #: Texts and objects that a worker remembers so as not to hash or send them again; forgetting only costs time.
 REMEMBERED = 50_000
@@ -29,21 +30,26 @@ def _batch(rows: list[tuple], children: list[tuple], ends: list[int]) -> pa.Reco
 
 
 def _objects(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A row (row_id, top nodes as children) for each text with nodes, and the objects that this task hasn't sent yet."""
-    texts: dict[str, tuple] = {}
+    """A row (row_id, hash) for each text with nodes, and the objects that this task hasn't sent yet."""
+    texts: dict[str, bytes] = {}
     seen: set[bytes] = set()
     for batch in batches:
         rows: list[tuple] = []
         children: list[tuple] = []
         ends = [0]
         for row_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            tops = texts.get(text)
-            if tops is None:
+            whole = texts.get(text)
+            if whole is None:
                 nodes = read(text)
                 if not nodes:
                     continue
-                ids, height = identify(nodes)
-                tops = tuple((ids[i], x.name, not x.kids, i + 1) for i, x in enumerate(nodes) if x.parent < 0)
+                ids, height, whole = identify(nodes)
+                if whole not in seen:
+                    seen.add(whole)
+                    roots = [i for i, x in enumerate(nodes) if x.parent < 0]
+                    children += [(ids[k], nodes[k].name, not nodes[k].kids, k + 1) for k in roots]
+                    rows.append((None, whole, None, None, None, 1 + max(height[i] for i in roots)))
+                    ends.append(len(children))
                 for i, x in enumerate(nodes):
                     if ids[i] not in seen:
                         seen.add(ids[i])
@@ -56,9 +62,8 @@ def _objects(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 if len(seen) >= 8 * REMEMBERED:
                     seen.clear()
                 if len(text) < 4096:
-                    texts[text] = tops
-            children += tops
-            rows.append((row_id, None, None, None, None, None))
+                    texts[text] = whole
+            rows.append((row_id, whole, None, None, None, None))
             ends.append(len(children))
         yield _batch(rows, children, ends)
 
@@ -66,52 +71,47 @@ def _objects(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 class NestedTables:
     """The flat tables of a column of nested records.
 
-    rows: (row_id, children), the top nodes of a row. objects: (hash, name, value, conf, height, children), each distinct object once.
-    bridge: (parent_hash, ordinal, child_hash, child_name, place): the children of an object in order; place is the distance of the child from
-    its parent in the order written. row_bridge: the same for the top nodes of each row.
+    rows: (row_id, hash), a row's whole record. objects: (hash, name, value, conf, height, children), each distinct object once; a whole record
+    has no name. bridge: (parent_hash, ordinal, child_hash, child_name, place): the children of an object in order; place is the distance of
+    the child from its parent in the order written.
     """
 
     def __init__(self, df: DataFrame, key: str, text: str):
         """df: one text per key (a whole number); repeated keys count once. Null and empty texts, stand-ins and unreadable JSON have no nodes."""
         d = df.select(F.col(key).cast("bigint").alias("row_id"), F.col(text).cast("string").alias("text")).where("row_id is not null and text is not null")
         both = stage(d.mapInArrow(_objects, _ROWS), "p4-objects")
-        self.rows = both.where("row_id is not null").select("row_id", "children").dropDuplicates(["row_id"])
+        self.rows = both.where("row_id is not null").select("row_id", "hash").dropDuplicates(["row_id"])
         self.objects = both.where("row_id is null").drop("row_id").dropDuplicates(["hash"])
         self._both = both
 
     @property
     def bridge(self) -> DataFrame:
-        return _links(self.objects.select(F.col("hash").alias("parent_hash"), "children"), "parent_hash")
-
-    @property
-    def row_bridge(self) -> DataFrame:
-        return _links(self.rows, "row_id")
+        return self.objects.select(F.col("hash").alias("parent_hash"), F.posexplode("children").alias("n", "c")).select(
+            "parent_hash", (F.col("n") + 1).alias("ordinal"), F.col("c.hash").alias("child_hash"), F.col("c.name").alias("child_name"), F.col("c.place").alias("place")
+        )
 
     def occurrences(self) -> DataFrame:
         """(row_id, node_no, parent_no, node_name) of every node of every row, read back from the distinct objects through the bridge.
 
-        Level by level the children of what a row holds are looked up by identity. Leaves are named by the bridge and need no look-up. An
-        object that very many rows hold makes a skewed join with one row on its other side, which adaptive execution splits.
+        Level by level the children of the distinct whole records are looked up; leaves are named by the bridge and need no look-up. Only
+        then are the nodes of a whole record given to the rows that hold it.
         """
         deepest = self._both.agg(F.max("height")).first()[0] or 1
         child = lambda c: F.struct(F.when(~c["leaf"], c["hash"]).alias("hash"), c["name"].alias("name"), c["place"].alias("place"))
-        kids = F.transform("children", child).alias("children")
-        # equal identities have equal children, so distinct pairs are distinct objects
-        inner = stage(self._both.where(F.col("row_id").isNull() & (F.size("children") > 0)).select("hash", kids).distinct(), "p4-inner")
-        at = self.rows.select("row_id", F.lit(0).alias("base"), kids)
+        inner = self._both.where(F.col("row_id").isNull() & (F.size("children") > 0)).select("hash", F.col("name").isNull().alias("top"), F.transform("children", child).alias("children"))
+        inner = stage(inner.distinct(), "p4-inner")  # equal identities have equal children, so distinct rows are distinct objects
+        release(inner.sparkSession)
+        at = inner.where("top").select(F.col("hash").alias("whole"), F.lit(0).alias("base"), "children")
+        inner = inner.where("not top").select("hash", "children")
         levels: list[DataFrame] = []
-        for level in range(1, deepest + 1):
-            now = at.select("row_id", F.col("base").alias("parent_no"), F.explode("children").alias("c"))
-            now = now.select("row_id", (F.col("parent_no") + F.col("c.place")).alias("node_no"), "parent_no", F.col("c.name").alias("node_name"), F.col("c.hash").alias("hash"))
+        for level in range(1, max(2, deepest)):
+            now = at.select("whole", F.col("base").alias("parent_no"), F.explode("children").alias("c"))
+            now = now.select("whole", (F.col("parent_no") + F.col("c.place")).alias("node_no"), "parent_no", F.col("c.name").alias("node_name"), F.col("c.hash").alias("hash"))
             if level % 12 == 0:  # very deep records: don't let the plan grow with the depth
                 now = stage(now, "p4-level")
-            levels.append(now.drop("hash"))
-            at = now.where("hash is not null").select("row_id", F.col("node_no").alias("base"), "hash").join(inner, "hash").select("row_id", "base", "children")
-        out = levels[0]
+            levels.append(now.select(F.col("whole").alias("hash"), "node_no", "parent_no", "node_name"))
+            at = now.where("hash is not null").select("whole", F.col("node_no").alias("base"), "hash").join(inner, "hash").select("whole", "base", "children")
+        nodes = levels[0]
         for x in levels[1:]:
-            out = out.unionByName(x)
-        return out
-
-
-def _links(df: DataFrame, parent: str) -> DataFrame:
-    return df.select(parent, F.posexplode("children").alias("n", "c")).select(parent, (F.col("n") + 1).alias("ordinal"), F.col("c.hash").alias("child_hash"), F.col("c.name").alias("child_name"), F.col("c.place").alias("place"))
+            nodes = nodes.unionByName(x)
+        return salted_join(self.rows, nodes, "hash").select("row_id", "node_no", "parent_no", "node_name")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import os
 import tempfile
 import uuid
@@ -75,6 +76,12 @@ def stage(df: DataFrame, name: str, partition_by: list[str] | None = None) -> Da
     return spark.read.schema(df.schema).parquet(path) if not partition_by else spark.read.parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark remove shuffle files that no frame refers to any more; it does so only when the driver's garbage is collected."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def drop_stage(df: DataFrame) -> None:
     """Remove the files of a stage that is no longer read (rounds of an iteration)."""
     spark = df.sparkSession
