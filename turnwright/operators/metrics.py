@@ -7,6 +7,9 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
+
+from turnwright.operators.ordered import running
 
 
 def confusion(df: DataFrame, true: str, predicted: str) -> DataFrame:
@@ -33,18 +36,34 @@ def report_averages(df: DataFrame, true: str, predicted: str) -> DataFrame:
 
 
 def describe(df: DataFrame, columns: list[str], by: str | None = None) -> DataFrame:
-    """(by,) column_name, count, mean, std (sample), min, q25, q50, q75 (linear), max of numbers, in one pass."""
-    g = df.groupBy(by) if by else df.groupBy()
-    wide = g.agg(*[_described(c) for c in columns])
-    rows = F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(f"_{c}").alias("d")) for c in columns])
-    d = wide.select(*([by] if by else []), F.explode(rows).alias("r"))
-    q = F.col("r.d.q")
-    return d.select(*([by] if by else []), "r.column_name", "r.d.count", "r.d.mean", "r.d.std", "r.d.min", q[0].alias("q25"), q[1].alias("q50"), q[2].alias("q75"), "r.d.max")
-
-
-def _described(c: str):
-    x = F.col(f"`{c}`").cast("double")
-    return F.struct(F.count(x).alias("count"), F.avg(x).alias("mean"), F.stddev_samp(x).alias("std"), F.min(x).alias("min"), F.percentile(x, F.lit([0.25, 0.5, 0.75])).alias("q"), F.max(x).alias("max")).alias(f"_{c}")
+    """(by,) column_name, count, mean, std (sample), min, q25, q50, q75 (linear), max of numbers; nulls don't count. by must not be null."""
+    part = [by] if by else []
+    one = F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(f"`{c}`").cast("double").alias("v")) for c in columns])
+    long = df.select(*part, F.explode(one).alias("x")).select(*part, "x.*").where("v is not null")
+    m = long.groupBy(*part, "column_name").agg(F.count("v").alias("count"), F.avg("v").alias("mean"), F.stddev_samp("v").alias("std"), F.min("v").alias("min"), F.max("v").alias("max"))
+    q = quantiles(long, [*part, "column_name"], "v", {"q25": 0.25, "q50": 0.5, "q75": 0.75})
+    return m.join(q, [*part, "column_name"]).select(*part, "column_name", "count", "mean", "std", "min", "q25", "q50", "q75", "max")
+
+
+def quantiles(df: DataFrame, part: list[str], value: str, shares: dict[str, float], blocks: int = 256) -> DataFrame:
+    """Exact quantiles with linear interpolation of each part: (part, one column for each share).
+
+    Equal values are counted first; their places come from running counts over blocks of values whose edges are approximate quantiles of the
+    whole column, so neither a large part nor many distinct values end up in one task.
+    """
+    edges = df.agg(F.percentile_approx(value, [i / blocks for i in range(1, blocks)], 10_000)).first()[0] or []
+    n = df.groupBy(*part, F.col(value).alias("_v")).agg(F.count(F.lit(1)).alias("_n"))
+    n = n.withColumn("_b", F.size(F.filter(F.lit(edges) if edges else F.array().cast("array<double>"), lambda e: e < F.col("_v"))))
+    total = n.groupBy(*part).agg(F.sum("_n").alias("_t"))
+    d = running(n, part, "_b", ["_v"], F.col("_n"), "sum", "_before").join(total, part)
+    at, out = {}, []
+    for name, s in shares.items():
+        h = (F.col("_t") - 1) * s
+        for side, place in (("lo", F.floor(h)), ("hi", F.ceil(h))):
+            at[f"_{side}_{name}"] = F.max(F.when((F.col("_before") <= place) & (place < F.col("_before") + F.col("_n")), F.col("_v")))
+        at[f"_w_{name}"] = F.max(h - F.floor(h))
+        out.append((F.col(f"_lo_{name}") + (F.col(f"_hi_{name}") - F.col(f"_lo_{name}")) * F.col(f"_w_{name}")).alias(name))
+    return d.groupBy(*part).agg(*[c.alias(k) for k, c in at.items()]).select(*part, *out)
 
 
 def describe_texts(df: DataFrame, columns: list[str], by: str) -> DataFrame:
@@ -62,8 +81,6 @@ def repeated_rows(df: DataFrame) -> DataFrame:
 
 def top_n(df: DataFrame, by: list[str], value: str, tie: str, n: int) -> DataFrame:
     """The n rows of each group with the largest value (of equals the smaller tie), with their rank."""
-    from pyspark.sql.window import Window
-
     w = Window.partitionBy(*by).orderBy(F.desc(value), tie)
     return df.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n)
 
@@ -75,9 +92,9 @@ def union_results(frames: list[DataFrame]) -> DataFrame:
 
 def median_run(df: DataFrame, by: str, score: str, tie: str) -> DataFrame:
     """Of the runs of each group the one in the middle by score (of an even number the upper)."""
-    runs = F.array_sort(F.collect_list(F.struct(score, tie)))
-    m = df.groupBy(by).agg(runs.alias("_r")).select(by, F.get("_r", F.floor(F.size("_r") / 2).cast("int")).alias("_m"))
-    return m.select(by, f"_m.{score}", f"_m.{tie}")
+    w = Window.partitionBy(by)
+    d = df.select(by, score, tie).withColumns({"_k": F.row_number().over(w.orderBy(score, tie)), "_n": F.count(F.lit(1)).over(w)})
+    return d.where(F.col("_k") == F.floor(F.col("_n") / 2) + 1).drop("_k", "_n")
 
 
 def labels_agree(a: DataFrame, b: DataFrame) -> bool:

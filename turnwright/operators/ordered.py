@@ -12,38 +12,40 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 
-def running(df: DataFrame, part: list[str], block: str, order: list[str], value: Column, how: str, name: str, inclusive: bool = False, reverse: bool = False) -> DataFrame:
+def running(df: DataFrame, part: list[str], block: str, order: list[str], value: Column | dict[str, Column], how: str, name: str = "", inclusive: bool = False, reverse: bool = False) -> DataFrame:
     """Add name: 'max', 'sum' or 'last' (non-null) of value over the rows before each row of its part, in the given order.
 
     order holds column names without nulls that order the rows totally; block must not decrease along it. With inclusive the row itself counts;
-    with reverse the rows after it are taken. Parts and blocks must not be null. No earlier value: null, or 0 for a sum.
+    with reverse the rows after it are taken. Parts and blocks must not be null. No earlier value: null, or 0 for a sum. A dictionary of names
+    and values adds several columns at once.
     """
+    values = value if isinstance(value, dict) else {name: value}
     keys = [*part, block]
     by = [F.col(c).desc() if reverse else F.col(c).asc() for c in order]
-    frame = (Window.unboundedPreceding, Window.currentRow if inclusive else -1)
-    w = Window.partitionBy(*keys).orderBy(*by).rowsBetween(*frame)
+    w = Window.partitionBy(*keys).orderBy(*by).rowsBetween(Window.unboundedPreceding, Window.currentRow if inclusive else -1)
     b = F.col(block).desc() if reverse else F.col(block).asc()
     wb = (Window.partitionBy(*part) if part else Window.partitionBy()).orderBy(b).rowsBetween(Window.unboundedPreceding, -1)
-    if how == "max":
-        local, of_block = F.max(value).over(w), F.max(value)
-        carry = F.max("_of").over(wb)
-    elif how == "last":
-        at = F.struct(*[F.col(c) for c in order], value.alias("_v"))
-        local = F.last(value, ignorenulls=True).over(w)
-        pick = (F.min if reverse else F.max)(F.when(value.isNotNull(), at))
-        of_block, carry = pick["_v"], F.last("_of", ignorenulls=True).over(wb)
-    elif how == "sum":
-        local, of_block = F.sum(value).over(w), F.sum(value)
-        carry = F.sum("_of").over(wb)
-    else:
-        raise ValueError(how)
-    sums = df.groupBy(*keys).agg(of_block.alias("_of")).withColumn("_carry", carry).drop("_of").where("_carry is not null")
-    out = df.withColumn("_local", local).join(sums, keys, "left")
-    if how == "sum":
-        both = F.coalesce("_local", F.lit(0)) + F.coalesce("_carry", F.lit(0))
-    else:
-        both = F.greatest("_local", "_carry") if how == "max" else F.coalesce("_local", "_carry")
-    return out.withColumn(name, both).drop("_local", "_carry")
+    local, of_block, carry = {}, [], {}
+    for n, v in values.items():
+        if how == "last":
+            at = F.struct(*[F.col(c) for c in order], v.alias("_v"))
+            local[f"_local_{n}"] = F.last(v, ignorenulls=True).over(w)
+            of_block.append((F.min if reverse else F.max)(F.when(v.isNotNull(), at))["_v"].alias(f"_of_{n}"))
+            carry[f"_carry_{n}"] = F.last(f"_of_{n}", ignorenulls=True).over(wb)
+        elif how in ("max", "sum"):
+            f = F.max if how == "max" else F.sum
+            local[f"_local_{n}"] = f(v).over(w)
+            of_block.append(f(v).alias(f"_of_{n}"))
+            carry[f"_carry_{n}"] = f(f"_of_{n}").over(wb)
+        else:
+            raise ValueError(how)
+    sums = df.groupBy(*keys).agg(*of_block).withColumns(carry).select(*keys, *carry)
+    out = df.withColumns(local).join(sums, keys, "left")
+    for n in values:
+        a, c = F.col(f"_local_{n}"), F.col(f"_carry_{n}")
+        both = {"max": F.greatest(a, c), "last": F.coalesce(a, c), "sum": F.coalesce(a, F.lit(0)) + F.coalesce(c, F.lit(0))}[how]
+        out = out.withColumn(n, both).drop(f"_local_{n}", f"_carry_{n}")
+    return out
 
 
 def fill_ordered(df: DataFrame, ordinal: str, value: str, name: str, group: str | None = None, forward: bool = True, block_rows: int = 100_000) -> DataFrame:

@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
+from turnwright.operators.ordered import running
 from turnwright.operators.skew import salted_join
 
 
@@ -25,29 +25,31 @@ def existence_deltas(register: DataFrame, key: str, born: str, died: str) -> Dat
     return d.select("key", "c.*")
 
 
-def existence_counts(deltas: DataFrame) -> DataFrame:
-    """Running counts per key: an array of (at, n_exist, n_ever) in order of time; changes at one moment are one entry."""
-    per = deltas.groupBy("key", "at").agg(F.sum("d_exist").alias("d_exist"), F.sum("d_ever").alias("d_ever"))
-    w = Window.partitionBy("key").orderBy(F.col("at").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0)
-    run = per.select("key", F.struct("at", F.sum("d_exist").over(w).alias("n_exist"), F.sum("d_ever").over(w).alias("n_ever")).alias("s"))
-    return run.groupBy("key").agg(F.array_sort(F.collect_list("s")).alias("states"))
-
-
 def orphans(references: DataFrame, register: DataFrame, key: str, at: str, register_key: str, born: str, died: str, hot_rows: int = 200_000) -> DataFrame:
     """The references, plus orphan_kind, whose key doesn't exist at their time.
 
-    A reference counts +1 for its key; it is an orphan where the key's existence count at its time is zero: 'missing' if the register never
-    names the key, 'deleted' if an entry was born by then, else 'late'. Rows without a key are no references. A reference without a time is
-    an orphan only if its key is missing. Repeated references come out as often as they went in. All columns of references are kept; names
-    beginning with an underscore are reserved.
+    References and existence deltas of a key are put in order of time; the running sum of the deltas at a reference is its key's existence
+    count then, and a reference, which counts +1, is an orphan where that is zero: 'missing' if the register never names the key, 'deleted' if
+    an entry was born by then, else 'late'. Time runs in blocks of a day with carried sums, so a key that holds a third of all references, or of
+    the register, is in no single task. Rows without a key are no references. A reference without a time is an orphan only if its key is
+    missing. Repeated references come out as often as they went in. All columns of references are kept; names beginning with an underscore
+    and orphan_kind are reserved.
     """
-    counts = existence_counts(existence_deltas(register, register_key, born, died)).select(F.col("key").alias("_key"), "states").withColumnRenamed("states", "_states")
-    refs = references.where(F.col(key).isNotNull()).withColumn("_key", F.col(key))
-    j = salted_join(refs, counts, "_key", "left", hot_rows=hot_rows)
-    before = F.filter("_states", lambda s: s["at"] <= F.col(at))
-    j = j.withColumn("_now", F.element_at(before, F.when(F.size(before) > 0, -1)))
-    kind = F.when(F.col("_states").isNull(), "missing").when(F.col(at).isNull() | (F.col("_now.n_exist") > 0), None).when(F.col("_now.n_ever") > 0, "deleted").otherwise("late")
-    return j.withColumn("orphan_kind", kind).where("orphan_kind is not null").drop("_key", "_states", "_now")
+    refs = references.where(F.col(key).isNotNull()).select(F.col(key).alias("_key"), F.col(at).cast("timestamp").alias("_at"), F.struct(*[F.col(f"`{c}`") for c in references.columns]).alias("_row"))
+    deltas = existence_deltas(register, register_key, born, died)
+    known = register.where(F.col(register_key).isNotNull()).select(F.col(register_key).alias("_key")).distinct().withColumn("_known", F.lit(True))
+    changes = deltas.where("at is not null").groupBy(F.col("key").alias("_key"), F.col("at").cast("timestamp").alias("_at")).agg(F.sum("d_exist").alias("_e"), F.sum("d_ever").alias("_v"))
+    zero = F.lit(0).cast("bigint")
+    kind = refs.schema["_row"].dataType
+    events = changes.select("_key", "_at", F.lit(0).alias("_ref"), "_e", "_v", F.lit(None).cast(kind).alias("_row"))
+    events = events.unionByName(refs.where("_at is not null").select("_key", "_at", F.lit(1).alias("_ref"), zero.alias("_e"), zero.alias("_v"), "_row"))
+    events = events.withColumn("_day", F.floor(F.unix_micros("_at") / 86_400_000_000))
+    run = running(events, ["_key"], "_day", ["_at", "_ref"], {"_exist": F.col("_e"), "_ever": F.col("_v")}, "sum")
+    lost = run.where("_ref = 1 and _exist <= 0").select("_key", "_row", (F.col("_ever") > 0).alias("_was"))
+    lost = lost.unionByName(refs.where("_at is null").select("_key", "_row", F.lit(None).cast("boolean").alias("_was")))
+    j = salted_join(lost, known, "_key", "left", hot_rows=hot_rows)
+    found = F.when(F.col("_known").isNull(), "missing").when(F.col("_was"), "deleted").when(~F.col("_was"), "late")
+    return j.select("_row.*", found.alias("orphan_kind")).where("orphan_kind is not null")
 
 
 def reference_deltas(references: DataFrame, key: str, sign: int = 1) -> DataFrame:
