@@ -151,8 +151,8 @@ def test_sources(spark, tmp_path):
     (tmp_path / "j" / "20000111265.json").write_text('{"segments": [{"start": 0.0, "end": 1.0, "text": "hi", "words": [{"word": "hi", "start": 0.0, "end": 1.0, "speaker": "A"}]}]}')
     m = readers.read_mixed(spark, str(tmp_path / "j")).first()
     assert m.CallID == "20000111265" and m.words[0].speaker == "A"
-    p = spark.createDataFrame([("a/LetsGo20000111265_output.wav",), ("a/20000111265_user.wav",), (None,)], "p string")
-    assert rows(readers.audio_pairs(p, "p")) == [("20000111265", "a/LetsGo20000111265_output.wav", "a/20000111265_user.wav")]
+    p = spark.createDataFrame([("a/x20000111265_output.wav",), ("a/20000111265_user.wav",), (None,)], "p string")
+    assert rows(readers.audio_pairs(p, "p")) == [("20000111265", "a/x20000111265_output.wav", "a/20000111265_user.wav")]
     (tmp_path / "w").mkdir()
     (tmp_path / "w" / "20000111265.wav").write_bytes(b"RIFF" + (36 + 8).to_bytes(4, "little") + b"WAVEfmt " + (16).to_bytes(4, "little") + (1).to_bytes(2, "little") + (1).to_bytes(2, "little") + (8000).to_bytes(4, "little") + (16000).to_bytes(4, "little") + (2).to_bytes(2, "little") + (16).to_bytes(2, "little") + b"data" + (8).to_bytes(4, "little") + bytes(8))
     (tmp_path / "w" / "20000111266.wav").write_bytes(b"RIFX")

@@ -9,6 +9,9 @@ from hashlib import blake2b
 # Texts, in lower case and with single blanks, that hold no nodes.
 NO_NODES = {"semantic no match", "", "nan", "none", "null", "na", "n/a", "<na>", "\\n", "-"}
 
+#: Bytes of an identity: among 10^12 objects the chance that any two share one is below 10^-5.
+SIZE = 12
+
 _TOKEN = re.compile(r"(\()|(\))|\[([^\]]*)\]?|([^\s()\[\]]+)")
 
 
@@ -86,7 +89,7 @@ def _some(x) -> list:
 def identify(nodes: list[Node]) -> tuple[list[bytes], list[int], bytes]:
     """Bottom-up identity and height of each node, and the identity of the whole text.
 
-    Equal names, values, confidences and equal children in equal order give the same 16 bytes.
+    Equal names, values, confidences and equal children in equal order give the same SIZE bytes.
     """
     n = len(nodes)
     ids: list[bytes] = [b""] * n
@@ -94,14 +97,14 @@ def identify(nodes: list[Node]) -> tuple[list[bytes], list[int], bytes]:
     for i in range(n - 1, -1, -1):
         x = nodes[i]
         value = json.dumps(x.value, sort_keys=True) if isinstance(x.value, (dict, list)) else x.value
-        h = blake2b(f"{x.name!r} {value!r} {x.conf!r}".encode("utf-8", "surrogatepass"), digest_size=16)
+        h = blake2b(f"{x.name!r} {value!r} {x.conf!r}".encode("utf-8", "surrogatepass"), digest_size=SIZE)
         if x.kids:
             h.update(b"\x00")
             for k in x.kids:
                 h.update(ids[k])
                 height[i] = max(height[i], height[k] + 1)
         ids[i] = h.digest()
-    whole = blake2b(b"whole", digest_size=16)
+    whole = blake2b(b"whole", digest_size=SIZE)
     for i in range(n):
         if nodes[i].parent < 0:
             whole.update(ids[i])

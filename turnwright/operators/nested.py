@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from turnwright.functions.parses import identify, read
 from turnwright.operators.skew import salted_join
-from turnwright.session import release, stage
+from turnwright.session import drop_stage, release, stage, stage_bucketed
 
 #: Texts and objects that a worker remembers so as not to hash or send them again; forgetting only costs time.
 REMEMBERED = 50_000
@@ -90,17 +90,22 @@ class NestedTables:
             "parent_hash", (F.col("n") + 1).alias("ordinal"), F.col("c.hash").alias("child_hash"), F.col("c.name").alias("child_name"), F.col("c.place").alias("place")
         )
 
-    def occurrences(self) -> DataFrame:
+    def occurrences(self, last_use: bool = False) -> DataFrame:
         """(row_id, node_no, parent_no, node_name) of every node of every row, read back from the distinct objects through the bridge.
 
         Level by level the children of the distinct whole records are looked up; leaves are named by the bridge and need no look-up. Only
-        then are the nodes of a whole record given to the rows that hold it.
+        then are the nodes of a whole record given to the rows that hold it. With last_use the tables aren't read again and their files go.
         """
         deepest = self._both.agg(F.max("height")).first()[0] or 1
         child = lambda c: F.struct(F.when(~c["leaf"], c["hash"]).alias("hash"), c["name"].alias("name"), c["place"].alias("place"))
         inner = self._both.where(F.col("row_id").isNull() & (F.size("children") > 0)).select("hash", F.col("name").isNull().alias("top"), F.transform("children", child).alias("children"))
-        inner = stage(inner.distinct(), "p4-inner")  # equal identities have equal children, so distinct rows are distinct objects
-        release(inner.sparkSession)
+        n = int(inner.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        inner = stage_bucketed(inner.repartition(n, "hash").dropDuplicates(["hash"]), "p4-inner", "hash")
+        rows = self.rows
+        if last_use:
+            rows = stage(rows, "p4-rows")
+            drop_stage(self._both)
+            release(inner.sparkSession)
         at = inner.where("top").select(F.col("hash").alias("whole"), F.lit(0).alias("base"), "children")
         inner = inner.where("not top").select("hash", "children")
         levels: list[DataFrame] = []
@@ -114,4 +119,4 @@ class NestedTables:
         nodes = levels[0]
         for x in levels[1:]:
             nodes = nodes.unionByName(x)
-        return salted_join(self.rows, nodes, "hash").select("row_id", "node_no", "parent_no", "node_name")
+        return salted_join(rows, nodes, "hash").select("row_id", "node_no", "parent_no", "node_name")

@@ -42,7 +42,7 @@ def _parses(spark: SparkSession, d: str) -> NestedTables:
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
-    return _parses(spark, d).occurrences().withColumnRenamed("row_id", "log_id")
+    return _parses(spark, d).occurrences(last_use=True).withColumnRenamed("row_id", "log_id")
 
 
 def p4_objects(spark: SparkSession, d: str) -> DataFrame:
