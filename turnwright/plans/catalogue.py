@@ -357,13 +357,13 @@ def rttm_parse(spark, d):
 _path = "(select dyad_path as p from audio_inventory union all select user_path from audio_inventory)"
 
 
-@query(f"select right(regexp_replace(f, '[^0-9]', '', 'g'), 11) as filecode, max(p) filter (where contains(f, 'output')) as dyad, max(p) filter (where not contains(f, 'output')) as \"user\" from (select p, string_split(p, '/')[-1] as f from {_path} where p is not null) group by 1")
+@query(f"select right(regexp_replace(f, '[^0-9]', '', 'g'), 11) as filecode, max(p) filter (where contains(f, 'output')) as dyad, max(p) filter (where not contains(f, 'output')) as \"user\" from (select p, string_split(p, '/')[-1] as f from {_path} where p is not null) where regexp_matches(f, '[0-9]') group by 1")
 def audio_inventory(spark, d):
     t = table(spark, d, "audio_inventory")
     return readers.audio_pairs(t.select(F.explode(F.array("dyad_path", "user_path")).alias("p")), "p")
 
 
-@query(f"select utt_id, c as CallID, Speaker, case when s is not null then printf('%.2f', s) end as StartTime, case when e is not null then printf('%.2f', e) end as EndTime from (select utt_id, {S.cid('CallID')} as c, Speaker, {S.finite('StartTime')} as s, {S.finite('EndTime')} as e from {S.USER})")
+@query(f"select utt_id, c as CallID, Speaker, case when s is not null then printf('%.2f', round(s, 2)) end as StartTime, case when e is not null then printf('%.2f', round(e, 2)) end as EndTime from (select utt_id, {S.cid('CallID')} as c, Speaker, {S.finite('StartTime')} as s, {S.finite('EndTime')} as e from {S.USER})")
 def user_sheet(spark, d):
     u = user(spark, d).withColumn("StartTime", usable(F.col("StartTime"))).withColumn("EndTime", usable(F.col("EndTime")))
     two = writers.user_sheet(u.withColumn("Transcript", F.col("ord"))).withColumnRenamed("Transcript", "utt_id")
