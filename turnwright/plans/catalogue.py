@@ -363,7 +363,7 @@ def audio_inventory(spark, d):
     return readers.audio_pairs(t.select(F.explode(F.array("dyad_path", "user_path")).alias("p")), "p")
 
 
-@query(f"select utt_id, c as CallID, Speaker, case when s is not null then printf('%.2f', round(s, 2)) end as StartTime, case when e is not null then printf('%.2f', round(e, 2)) end as EndTime from (select utt_id, {S.cid('CallID')} as c, Speaker, {S.finite('StartTime')} as s, {S.finite('EndTime')} as e from {S.USER})")
+@query(f"select utt_id, c as CallID, Speaker, case when s is not null then cast(round(cast(s as decimal(18,6)), 2) as varchar) end as StartTime, case when e is not null then cast(round(cast(e as decimal(18,6)), 2) as varchar) end as EndTime from (select utt_id, {S.cid('CallID')} as c, Speaker, {S.finite('StartTime')} as s, {S.finite('EndTime')} as e from {S.USER})")
 def user_sheet(spark, d):
     u = user(spark, d).withColumn("StartTime", usable(F.col("StartTime"))).withColumn("EndTime", usable(F.col("EndTime")))
     two = writers.user_sheet(u.withColumn("Transcript", F.col("ord"))).withColumnRenamed("Transcript", "utt_id")

@@ -19,7 +19,7 @@ def write_csv(df: DataFrame, path: str, mode: str = "overwrite") -> None:
 
 def user_sheet(df: DataFrame) -> DataFrame:
     """User transcript for checking by hand: times with two decimals."""
-    two = lambda c: F.format_string("%.2f", F.round(c, 2))
+    two = lambda c: F.round(F.col(c).cast("decimal(18,6)"), 2).cast("string")
     return df.select("CallID", "Speaker", F.when(F.col("StartTime").isNotNull(), two("StartTime")).alias("StartTime"), F.when(F.col("EndTime").isNotNull(), two("EndTime")).alias("EndTime"), "Transcript")
 
 
