@@ -1,3 +1,5 @@
+import random
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -131,6 +133,58 @@ def test_alignment(spark):
     assert [(p, a, n) for p, a, n, _ in got] == [(0, 1, 2), (1, 3, 1)]
 
 
+def long_call(n, seed, words=4):
+    """n prompts, and 2.4 segments each: the agent's, some cut, divided, lost or late, and the user's between them."""
+    r = random.Random(seed)
+    names = ["mill", "quay", "depot", "square", "loop", "street", "bridge", "market", ""][:words]
+    prompts = [r.choice(["leave from {}", "going to {}", "next bus at {} {}", "sorry say {} again", "{}"]).format(r.choice(names), r.choice(names)).strip() for _ in range(n)]
+    segments, late = [], []
+    for p in prompts:
+        x = r.random()
+        if x < 0.1:
+            k = r.randrange(len(p) + 1)
+            segments += [(p[:k].strip(), False), (p[k:].strip(), False)]
+        elif x < 0.2:
+            late.append((p, False))
+        elif x < 0.9:
+            segments.append((p[: r.randrange(len(p) + 1)] if x < 0.4 else p, False))
+        segments += [("yes", True)] * (r.random() < 0.8)
+    segments += late
+    while len(segments) < 2.4 * n:
+        segments.insert(r.randrange(len(segments)), ("no", True))
+    return prompts, [t for t, _ in segments], [u for _, u in segments]
+
+
+def all_pairs(prompts, segments, is_user):
+    """Alignment from the list of all candidates of the call."""
+    effective = [sum(not x for x in is_user[:i]) for i in range(len(is_user))]
+    known = {}
+    found = sorted((-s, p, size, at) for p, t in enumerate(prompts) for i in range(len(segments)) if not is_user[i] for s, at, size in align.window_candidates(t, segments, is_user, i, effective, p, known))
+    used, out = set(), {}
+    for s, p, size, at in found:
+        if p not in out and used.isdisjoint(range(at, at + size)):
+            out[p] = (p, at, size, -s)
+            used.update(range(at, at + size))
+    return sorted(out.values())
+
+
+def test_long_calls_are_aligned_as_a_whole():
+    for seed in range(60):
+        call = long_call(seed % 30, seed, 2 + seed % 8)
+        assert align.align_call(*call) == all_pairs(*call)
+    call = long_call(1000, 7)
+    assert align.align_call(*call) == all_pairs(*call)
+
+
+def test_segments_of_their_own_row_are_met_in_a_long_call(spark):
+    n = 1200
+    prompts = spark.range(n).selectExpr("'c' as CallID", "id", "id as place", "concat('stop ', id * 7919, ' or ', id * 104729) as text")
+    segments = prompts.selectExpr("CallID", "-id as id", "cast(floor(place * 2.4) as bigint) as place", "text", "false as is_user")
+    users = spark.range(int(n * 2.4)).where("floor(ceil(id / 2.4) * 2.4) != id").selectExpr("'c' as CallID", "id + 1 as id", "id as place", "'yes' as text", "true as is_user")
+    got = align.align_prompts(prompts, segments.unionByName(users))
+    assert got.where("first_seg = -prompt_id and n_segments = 1").count() == n
+
+
 def test_signal(spark):
     d = spark.createDataFrame([([0.1] * 8, [(0.0, 1.0)]), ([0.5], []), ([], [(0.0, 1.0)])], "x array<double>, s array<struct<start: double, end: double>>")
     level = signal.loudness(F.col("x"), F.col("s"), 8.0)

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from collections import defaultdict
 from collections.abc import Iterator
+from heapq import heapify, heappop, heappush
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -14,8 +17,6 @@ from turnwright.session import stage
 
 TOLERANCE_S, TEXT_RATIO = 0.5, 80.0
 WINDOW_RATIO, FULL_SCORE, MOST_SEGMENTS, NEAR = 60.0, 95.0, 5, 5
-#: Prompts and segments whose places in the call differ by more are not compared, and calls are aligned in runs of this length.
-BAND = 200
 
 
 def near_in_time(segments: DataFrame, users: DataFrame, tolerance: float = TOLERANCE_S) -> DataFrame:
@@ -61,12 +62,13 @@ def user_segments(segments: DataFrame, users: DataFrame, tolerance: float = TOLE
     return clusters.groupBy("CallID", "cluster").applyInPandas(greedy, "CallID string, seg_id bigint, user_id bigint")
 
 
-def window_candidates(prompt: str, segments: list[str], taken: list[bool], at: int, effective: list[int], prompt_at: int) -> Iterator[tuple[float, int, int]]:
+def window_candidates(prompt: str, segments: list[str], taken: list[bool], at: int, effective: list[int], prompt_at: int, known: dict[tuple[str, str], float] | None = None) -> Iterator[tuple[float, int, int]]:
     """(score, first segment, length) of the windows of 1 to MOST_SEGMENTS segments from place at on that resemble the prompt.
 
     Score: text ratio, plus 5 for each step nearer than NEAR + 1 that the window's place is to the prompt's, plus 5 for one segment,
-    minus 10 for three or more.
+    minus 10 for three or more. known keeps the ratios of text pairs.
     """
+    known = {} if known is None else known
     text = ""
     for size in range(1, MOST_SEGMENTS + 1):
         i = at + size - 1
@@ -76,39 +78,129 @@ def window_candidates(prompt: str, segments: list[str], taken: list[bool], at: i
         a, b = len(prompt), len(text)
         if a + b and 200.0 * min(a, b) / (a + b) < WINDOW_RATIO:
             continue
-        r = ratio(prompt, text)
+        r = known.get((prompt, text))
+        if r is None:
+            r = known[prompt, text] = ratio(prompt, text)
         if r < WINDOW_RATIO:
             continue
         d = abs(prompt_at - effective[at])
         yield r + max(0, NEAR - d + 1) * 5 * (d <= NEAR) + 5 * (size == 1) - 10 * (size >= 3), at, size
 
 
+#: The score of an equal single segment far from the prompt; only near windows score more.
+EQUAL = 105.0
+
+
+class _Call:
+    """What is left of a call's prompts and segments while its candidates are settled, best score first."""
+
+    def __init__(self, prompts: list[str], segments: list[str], is_user: list[bool]):
+        self.prompts, self.segments, self.is_user = prompts, segments, is_user
+        self.used, self.done, self.out = list(is_user), [False] * len(prompts), []
+        self.queue: dict[str, list[int]] = defaultdict(list)  # prompts left of each text, the first one last
+        for p in reversed(range(len(prompts))):
+            self.queue[prompts[p]].append(p)
+
+    def windows(self) -> dict[tuple[int, str], list[int]]:
+        """(number of segments, text) of the windows left, with their places, the first one last."""
+        found = defaultdict(list)
+        for at in reversed(range(len(self.segments))):
+            text = ""
+            for size in range(1, MOST_SEGMENTS + 1):
+                if at + size > len(self.segments) or self.used[at + size - 1]:
+                    break
+                text = f"{text} {self.segments[at + size - 1]}".strip()
+                found[size, text].append(at)
+        return found
+
+    def free(self, at: int, size: int) -> bool:
+        return not any(self.used[at : at + size])
+
+    def settle(self, score: float, near: dict[int, list[tuple[int, int]]], far: dict[str, list[tuple[int, list[int]]]]) -> None:
+        """All candidates of one score, by prompt, length and place. near: prompt to windows; far: text to windows of each length and text.
+
+        A window near a prompt that is left has been taken before its text's score without bonus comes up, so far needs no places of prompts.
+        """
+        heap = [(p, False, "") for p in near] + [(self.queue[t].pop(), True, t) for t in far if self.queue[t]]
+        heapify(heap)
+        while heap:
+            p, queued, t = heappop(heap)
+            if not self.done[p]:
+                best = min((w for w in near.get(p, ()) if self.free(w[1], w[0])), default=None)
+                for size, places in far.get(self.prompts[p], ()):
+                    while places and not self.free(places[-1], size):
+                        places.pop()  # what is taken stays taken
+                    if places and (best is None or (size, places[-1]) < best):
+                        best = size, places[-1]
+                if best is not None:
+                    size, at = best
+                    self.done[p] = True
+                    self.used[at : at + size] = [True] * size
+                    self.out.append((p, at, size, score))
+                elif queued:
+                    self.queue[t].append(p)  # nothing is left for its text at this score
+                    continue
+            if queued and self.queue[t]:
+                heappush(heap, (self.queue[t].pop(), True, t))
+
+
 def align_call(prompts: list[str], segments: list[str], is_user: list[bool]) -> list[tuple[int, int, int, float]]:
-    """(prompt, first segment, number of segments, score), one to one: the best score first, ties by prompt, length and place."""
+    """(prompt, first segment, number of segments, score), one to one: the best score first, ties by prompt, length and place.
+
+    All prompts of the call meet all its windows, but no list of pairs is made: near windows (at most NEAR places away) are listed, of the
+    others each distinct text is compared once with each distinct prompt. What scores EQUAL or more is settled first, as equal texts need no
+    comparing; only prompts and windows left by then are compared.
+    """
+    call = _Call(prompts, segments, is_user)
+    agents = [i for i, x in enumerate(is_user) if not x]
     effective, n = [], 0
     for x in is_user:
         effective.append(n)
         n += not x
-    found = [(-s, p, size, at) for p, text in enumerate(prompts) for i in range(len(segments)) if abs(effective[i] - p) <= BAND for s, at, size in window_candidates(text, segments, is_user, i, effective, p)]
-    used, done, out = [False] * len(segments), set(), []
-    for s, p, size, at in sorted(found):
-        if p not in done and not any(used[at : at + size]):
-            done.add(p)
-            used[at : at + size] = [True] * size
-            out.append((p, at, size, -s))
-    return sorted(out)
+    known: dict[tuple[str, str], float] = {}
+    near: dict[float, dict[int, list[tuple[int, int]]]] = defaultdict(lambda: defaultdict(list))
+    for p, text in enumerate(prompts):
+        for i in agents[max(0, p - NEAR) : p + NEAR + 1]:
+            for s, at, size in window_candidates(text, segments, is_user, i, effective, p, known):
+                near[s][p].append((size, at))
+    equal = {t: [(1, places)] for (size, t), places in call.windows().items() if size == 1 and t in call.queue}
+    for s in sorted({*near, EQUAL}, reverse=True):
+        if s >= EQUAL:
+            call.settle(s, near.get(s, {}), equal if s == EQUAL else {})
+
+    texts, windows = [t for t, q in call.queue.items() if any(not call.done[p] for p in q)], list(call.windows().items())
+    lengths = np.array([len(t) for (_, t), _ in windows], dtype="int64")
+    extra = np.array([5 * (size == 1) - 10 * (size >= 3) for (size, _), _ in windows], dtype="int64")
+    scores, at_text, at_window = [np.empty(0)], [np.empty(0, "int32")], [np.empty(0, "int32")]
+    for k, t in enumerate(texts):
+        n = lengths + len(t)
+        able = np.flatnonzero(200 * np.minimum(lengths, len(t)) >= WINDOW_RATIO * n)  # the length alone rules out many
+        r = np.array([known.get((t, windows[w][0][1])) or ratio(t, windows[w][0][1]) for w in able], dtype="float64")
+        able, r = able[r >= WINDOW_RATIO], r[r >= WINDOW_RATIO]
+        scores.append(r + extra[able])
+        at_text.append(np.full(len(able), k, "int32"))
+        at_window.append(able.astype("int32"))
+    score, text, window = np.concatenate(scores), np.concatenate(at_text), np.concatenate(at_window)
+    order = np.argsort(-score, kind="stable")
+    score, text, window = score[order], text[order], window[order]
+    for s in sorted({x for x in near if x < EQUAL} | set(score.tolist()), reverse=True):
+        far = defaultdict(list)
+        for j in range(np.searchsorted(-score, -s, "left"), np.searchsorted(-score, -s, "right")):
+            far[texts[text[j]]].append((windows[window[j]][0][0], windows[window[j]][1]))
+        call.settle(s, near.get(s, {}), far)
+    return sorted(call.out)
 
 
 def align_prompts(prompts: DataFrame, segments: DataFrame) -> DataFrame:
     """(CallID, prompt_id, first_seg, n_segments, score) for prompts that find segments; null first_seg for those that don't.
 
-    prompts: CallID, id, place, text; segments: CallID, id, place, text, is_user. Places count from 0 in the call. Runs of BAND places of a
-    call, told apart by the prompt's place, are aligned by themselves with the segments of their stretch, so a hot call is many groups.
+    prompts: CallID, id, place, text; segments: CallID, id, place, text, is_user. A call is settled as a whole in one task, because any of its
+    prompts may compete for any of its segments.
     """
-    p = prompts.where("CallID is not null").select("CallID", F.lit(0).alias("kind"), "id", "place", "text", F.lit(False).alias("is_user"), F.floor(F.col("place") / BAND).alias("run"))
-    s = segments.where("CallID is not null").select("CallID", F.lit(1).alias("kind"), "id", "place", "text", "is_user", F.floor(F.col("place") / (2 * BAND)).alias("run"))
+    p = prompts.where("CallID is not null").select("CallID", F.lit(0).alias("kind"), "id", "place", "text", F.lit(False).alias("is_user"))
+    s = segments.where("CallID is not null").select("CallID", F.lit(1).alias("kind"), "id", "place", "text", "is_user")
 
-    def run(f: pd.DataFrame) -> pd.DataFrame:
+    def call(f: pd.DataFrame) -> pd.DataFrame:
         f = f.sort_values(["kind", "place", "id"])
         a, b = f[f["kind"] == 0], f[f["kind"] == 1]
         texts = [matching_key(x or "") for x in a["text"]]
@@ -118,4 +210,4 @@ def align_prompts(prompts: DataFrame, segments: DataFrame) -> DataFrame:
         out = pd.DataFrame(rows, columns=["CallID", "prompt_id", "first_seg", "n_segments", "score"])
         return out.astype({"first_seg": "Int64", "n_segments": "Int64", "score": "float64"})
 
-    return p.unionByName(s).groupBy("CallID", "run").applyInPandas(run, "CallID string, prompt_id bigint, first_seg bigint, n_segments bigint, score double")
+    return p.unionByName(s).groupBy("CallID").applyInPandas(call, "CallID string, prompt_id bigint, first_seg bigint, n_segments bigint, score double")
