@@ -1,10 +1,12 @@
 import random
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from turnwright.operators import align, cleaning, exchange, features, joins, metrics, partitions, signal, stats
+from turnwright.plans import catalogue
 from turnwright.sources import readers, writers
 
 
@@ -185,6 +187,26 @@ def test_segments_of_their_own_row_are_met_in_a_long_call(spark):
     assert got.where("first_seg = -prompt_id and n_segments = 1").count() == n
 
 
+def test_vectors_are_taken_whole(spark, tmp_path):
+    d = spark.createDataFrame([(1, [float(i) for i in range(70)]), (2, [3.0]), (3, [])], "vec_id bigint, embedding array<float>")
+    d.write.parquet(str(tmp_path / "embeddings.parquet"))
+    got = {r.vec_id: r for r in catalogue.QUERIES["expand_vector_whole"](spark, str(tmp_path)).collect()}
+    assert [got[1][f"dim{i}"] for i in range(70)] == list(range(70)) and got[2].dim0 == 3.0 and got[2].dim69 is None and len(got[3]) == 71
+    assert rows(catalogue.QUERIES["pad_mask_whole"](spark, str(tmp_path))) == [(1, 34.5, 70), (2, 3.0, 1), (3, None, 0)]
+    padded = {r.vec_id: r for r in features.pad_all(d, "embedding").collect()}
+    assert [(len(r.padded), len(r.mask), sum(r.mask)) for _, r in sorted(padded.items())] == [(70, 70, 70), (70, 70, 1), (70, 70, 0)]
+
+
+@pytest.mark.parametrize("name", ["expand_vector_whole", "pad_mask_whole"])
+def test_whole_vectors_equal_their_sql(spark, tiny, name):
+    con = duckdb.connect()
+    con.execute(f"create view embeddings as select * from '{tiny}/embeddings.parquet'")
+    r = con.execute(catalogue.SQL[name])
+    names = [x[0] for x in r.description]
+    df = catalogue.QUERIES[name](spark, tiny)
+    assert df.columns == names and rows(df) == sorted(r.fetchall(), key=repr)
+
+
 def test_signal(spark):
     d = spark.createDataFrame([([0.1] * 8, [(0.0, 1.0)]), ([0.5], []), ([], [(0.0, 1.0)])], "x array<double>, s array<struct<start: double, end: double>>")
     level = signal.loudness(F.col("x"), F.col("s"), 8.0)

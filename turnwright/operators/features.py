@@ -68,6 +68,17 @@ def pad(values: Column, size: int, filler: float) -> Column:
     return F.slice(F.concat(values, F.array_repeat(F.lit(filler), size)), 1, size)
 
 
+def longest(df: DataFrame, column: str) -> int:
+    """The length of the longest array of column; 0 if there is none."""
+    return df.agg(F.max(F.size(column))).first()[0] or 0
+
+
+def pad_all(df: DataFrame, column: str, filler: float = 0.0) -> DataFrame:
+    """df with padded, whole arrays filled up to the longest, and mask, true where a place holds a value of the array."""
+    size = longest(df, column)
+    return df.withColumn("padded", pad(F.col(column), size, filler)).withColumn("mask", F.transform(F.slice(F.sequence(F.lit(0), F.lit(size)), 2, size), lambda i: i <= F.size(column)))
+
+
 def filled_rows(vectors: Column) -> Column:
     """True for each vector that isn't all zeros."""
     return F.transform(vectors, lambda v: F.aggregate(v, F.lit(0.0), lambda a, x: a + F.abs(x)) > 1e-9)

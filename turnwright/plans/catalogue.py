@@ -437,6 +437,12 @@ def expand_vector(spark, d):
     return features.expand(table(spark, d, "embeddings").select("vec_id", "embedding"), "embedding", 8, "dim")
 
 
+@query("select vec_id, " + ", ".join(f"embedding[{i + 1}] as dim{i}" for i in range(64)) + " from embeddings")
+def expand_vector_whole(spark, d):
+    t = table(spark, d, "embeddings").select("vec_id", "embedding")
+    return features.expand(t, "embedding", features.longest(t, "embedding"), "dim")
+
+
 @query("select label, cast(p as int) as place, round(avg(v), 4) as v from (select label, unnest(embedding)::double as v, generate_subscripts(embedding, 1) - 1 as p from embeddings) group by label, p")
 def mean_pool(spark, d):
     t = table(spark, d, "embeddings").select("label", F.posexplode("embedding").alias("place", "v"))
@@ -450,6 +456,13 @@ def pad_mask(spark, d):
     return t.select("vec_id", F.round(features.mean_pool(F.col("padded"), F.col("mask"))[0], 4).alias("pooled"), "n")
 
 
+@query("select vec_id, round(list_sum([x::double for x in embedding]) / len(embedding), 4) as pooled, cast(len(embedding) as int) as n from embeddings")
+def pad_mask_whole(spark, d):
+    t = table(spark, d, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("x"), F.size("embedding").alias("n"))
+    t = features.pad_all(t, "x").withColumn("padded", F.transform("padded", lambda v: F.array(v)))
+    return t.select("vec_id", F.round(F.get(features.mean_pool(F.col("padded"), F.col("mask")), F.lit(0)), 4).alias("pooled"), "n")
+
+
 # ---- scores, summaries, tests
 
 _rated = f"(select IQMedian as t, IQRater1 as a, IQRater2 as b, IQRater3 as c from {S.LOG} where IQMedian between 1 and 5 and IQRater1 between 1 and 5 and IQRater2 between 1 and 5 and IQRater3 between 1 and 5)"
