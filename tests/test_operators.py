@@ -197,10 +197,11 @@ def test_vectors_are_taken_whole(spark, tmp_path):
     assert [(len(r.padded), len(r.mask), sum(r.mask)) for _, r in sorted(padded.items())] == [(70, 70, 70), (70, 70, 1), (70, 70, 0)]
 
 
-@pytest.mark.parametrize("name", ["expand_vector_whole", "pad_mask_whole"])
-def test_whole_vectors_equal_their_sql(spark, tiny, name):
+@pytest.mark.parametrize("name", ["expand_vector_whole", "pad_mask_whole", "user_sheet_whole"])
+def test_whole_rows_equal_their_sql(spark, tiny, name):
     con = duckdb.connect()
-    con.execute(f"create view embeddings as select * from '{tiny}/embeddings.parquet'")
+    for t in ("embeddings", "validated_user_transcript"):
+        con.execute(f"create view {t} as select * from '{tiny}/{t}.parquet'")
     r = con.execute(catalogue.SQL[name])
     names = [x[0] for x in r.description]
     df = catalogue.QUERIES[name](spark, tiny)

@@ -370,6 +370,12 @@ def user_sheet(spark, d):
     return two.select("utt_id", "CallID", "Speaker", "StartTime", "EndTime")
 
 
+@query(f"select utt_id, c as CallID, Speaker, case when s is not null then cast(round(cast(s as decimal(18,6)), 2) as varchar) end as StartTime, case when e is not null then cast(round(cast(e as decimal(18,6)), 2) as varchar) end as EndTime, Transcript from (select utt_id, Transcript, {S.cid('CallID')} as c, Speaker, {S.finite('StartTime')} as s, {S.finite('EndTime')} as e from {S.USER})")
+def user_sheet_whole(spark, d):
+    u = user(spark, d).withColumn("StartTime", usable(F.col("StartTime"))).withColumn("EndTime", usable(F.col("EndTime")))
+    return writers.user_sheet(u.withColumnRenamed("ord", "utt_id"), "utt_id")
+
+
 # ---- groups, folds, weights, features
 
 _filtered = f"(select distinct on (log_id) log_id, {S.cid('CallID')} as c, IQMedian from filtered_system_features)"

@@ -17,10 +17,10 @@ def write_csv(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     df.write.mode(mode).option("header", True).csv(path)
 
 
-def user_sheet(df: DataFrame) -> DataFrame:
-    """User transcript for checking by hand: times with two decimals."""
+def user_sheet(df: DataFrame, *keys: str) -> DataFrame:
+    """User transcript for checking by hand: times with two decimals, behind the key columns named."""
     two = lambda c: F.round(F.col(c).cast("decimal(18,6)"), 2).cast("string")
-    return df.select("CallID", "Speaker", F.when(F.col("StartTime").isNotNull(), two("StartTime")).alias("StartTime"), F.when(F.col("EndTime").isNotNull(), two("EndTime")).alias("EndTime"), "Transcript")
+    return df.select(*keys, "CallID", "Speaker", F.when(F.col("StartTime").isNotNull(), two("StartTime")).alias("StartTime"), F.when(F.col("EndTime").isNotNull(), two("EndTime")).alias("EndTime"), "Transcript")
 
 
 def rttm_line(code: Column, start: Column, end: Column) -> Column:
