@@ -197,10 +197,15 @@ def test_vectors_are_taken_whole(spark, tmp_path):
     assert [(len(r.padded), len(r.mask), sum(r.mask)) for _, r in sorted(padded.items())] == [(70, 70, 70), (70, 70, 1), (70, 70, 0)]
 
 
-@pytest.mark.parametrize("name", ["expand_vector_whole", "pad_mask_whole", "user_sheet_whole"])
+def test_type_report_counts_exactly(spark):
+    d = spark.range(19_999).selectExpr("cast(id % 9999 as string) as a", "cast(id % 10000 as string) as b")
+    assert rows(cleaning.type_report(d)) == [("a", 19_999, 9999, True), ("b", 19_999, 10_000, False)]
+
+
+@pytest.mark.parametrize("name", ["expand_vector_whole", "pad_mask_whole", "user_sheet_whole", "type_report_whole", "null_profile_whole"])
 def test_whole_rows_equal_their_sql(spark, tiny, name):
     con = duckdb.connect()
-    for t in ("embeddings", "validated_user_transcript"):
+    for t in ("embeddings", "validated_user_transcript", "system_features_full"):
         con.execute(f"create view {t} as select * from '{tiny}/{t}.parquet'")
     r = con.execute(catalogue.SQL[name])
     names = [x[0] for x in r.description]

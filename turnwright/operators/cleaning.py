@@ -127,7 +127,7 @@ def type_report(df: DataFrame, least_repeat: float = 0.5) -> DataFrame:
     texts = [f.name for f in df.schema.fields if isinstance(f.dataType, T.StringType)]
     if not texts:
         return df.sparkSession.createDataFrame([], "column_name string, n bigint, n_distinct bigint, as_category boolean")
-    one = df.agg(F.count(F.lit(1)).alias("n"), *[F.approx_count_distinct(F.col(f"`{c}`"), 0.02).alias(f"d{i}") for i, c in enumerate(texts)])
+    one = df.agg(F.count(F.lit(1)).alias("n"), *[F.count_distinct(F.col(f"`{c}`")).alias(f"d{i}") for i, c in enumerate(texts)])
     rows = [F.struct(F.lit(c).alias("column_name"), F.col("n"), F.col(f"d{i}").alias("n_distinct"), (F.try_divide(F.col(f"d{i}"), F.col("n")) < least_repeat).alias("as_category")) for i, c in enumerate(texts)]
     return one.select(F.explode(F.array(*rows)).alias("r")).select("r.*")
 

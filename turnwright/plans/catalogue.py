@@ -118,6 +118,16 @@ def null_profile(spark, d):
     return cleaning.null_profile(log(spark, d, *PROFILED).select(*PROFILED))
 
 
+ALL_TEXTS = ["CallID", "Prompt", "Utterance", "SemanticParse", "DD", "ASRRecognitionStatus", "Modality", "Activity", "ActivityType", "ExMo", "RoleName", "LoopName"]
+ALL_COLUMNS = ["log_id", "logged_at", "received_at", "exchange_no", *ALL_TEXTS, "ASRConfidence", "MeanASRConfidence", "IQRater1", "IQRater2", "IQRater3", "IQMedian"]
+_every = f"with l as materialized {S.LOG} "
+
+
+@query(_every + " union all ".join(f"select '{c}' as column_name, count(*) filter (where {c} is null) as n_null from l" for c in ALL_COLUMNS) + f" union all select '*any*', count(*) filter (where {' or '.join(f'{c} is null' for c in ALL_COLUMNS)}) from l")
+def null_profile_whole(spark, d):
+    return cleaning.null_profile(table(spark, d, "system_features_full").dropDuplicates(["log_id"]))
+
+
 _hot = {"RoleName": ["confirm", "inform"], "ExMo": ["initial", "normal", "repeat"]}
 
 
@@ -149,6 +159,11 @@ def type_report(spark, d):
     return cleaning.type_report(log(spark, d, "RoleName")).select("column_name", "n", "as_category")
 
 
+@query(_every + " union all ".join(f"select '{c}' as column_name, count(*) as n, count(distinct {c}) as n_distinct, count(distinct {c}) / count(*)::double < 0.5 as as_category from l" for c in ALL_TEXTS))
+def type_report_whole(spark, d):
+    return cleaning.type_report(table(spark, d, "system_features_full").dropDuplicates(["log_id"]))
+
+
 @query(f"select log_id, cast(cast(ASRConfidence as float) as double) as ASRConfidence from {S.LOG} where not isnan(ASRConfidence)")
 def numeric_narrowing(spark, d):
     return log(spark, d, "ASRConfidence").where(usable(F.col("ASRConfidence")).isNotNull()).select("log_id", cleaning.single_precision(F.col("ASRConfidence")).alias("ASRConfidence"))
