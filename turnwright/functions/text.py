@@ -136,7 +136,7 @@ def has_word(c: Column, word: str) -> Column:
 
 
 def first_key(c: Column) -> Column:
-    """The first key of a parse in bracket notation: its first name, or behind a leading group in parentheses the first name after it."""
+    """The first key of a parse in bracket notation: its first name; null where it begins with a group in parentheses."""
     t = F.trim(F.regexp_replace(c, r"(?U)[\s ]+", " "))
     return F.when(F.lower(t) == "semantic no match", "semantic_no_match").otherwise(F.when(~t.startswith("("), F.regexp_extract(t, r"^(\w+)", 1)))
 
