@@ -49,7 +49,7 @@ def test_cleaning(spark):
 def test_nearest_place(spark):
     a = spark.createDataFrame([(1, "k", 0), (2, "k", 1), (3, "z", 0)], "id int, k string, p int")
     b = spark.createDataFrame([("k", 0), ("k", 2)], "k string, q int")
-    assert sorted((r.id, r.q) for r in joins.nearest_place(a, b, ["k"], "p", "q", "id").collect()) == [(1, 0), (2, 0)]
+    assert sorted((r.id, r.q) for r in joins.nearest_place(a, b, ["k"], "p", "q").collect()) == [(1, 0), (2, 0)]
 
 
 def test_exclusion(spark):
@@ -190,9 +190,9 @@ def test_segments_of_their_own_row_are_met_in_a_long_call(spark):
 def test_vectors_are_taken_whole(spark, tmp_path):
     d = spark.createDataFrame([(1, [float(i) for i in range(70)]), (2, [3.0]), (3, [])], "vec_id bigint, embedding array<float>")
     d.write.parquet(str(tmp_path / "embeddings.parquet"))
-    got = {r.vec_id: r for r in catalogue.QUERIES["expand_vector_whole"](spark, str(tmp_path)).collect()}
+    got = {r.vec_id: r for r in catalogue.QUERIES["expand_vector"](spark, str(tmp_path)).collect()}
     assert [got[1][f"dim{i}"] for i in range(70)] == list(range(70)) and got[2].dim0 == 3.0 and got[2].dim69 is None and len(got[3]) == 71
-    assert rows(catalogue.QUERIES["pad_mask_whole"](spark, str(tmp_path))) == [(1, 34.5, 70), (2, 3.0, 1), (3, None, 0)]
+    assert rows(catalogue.QUERIES["pad_mask"](spark, str(tmp_path))) == [(1, 34.5, 70), (2, 3.0, 1), (3, None, 0)]
     padded = {r.vec_id: r for r in features.pad_all(d, "embedding").collect()}
     assert [(len(r.padded), len(r.mask), sum(r.mask)) for _, r in sorted(padded.items())] == [(70, 70, 70), (70, 70, 1), (70, 70, 0)]
 
@@ -202,7 +202,7 @@ def test_type_report_counts_exactly(spark):
     assert rows(cleaning.type_report(d)) == [("a", 19_999, 9999, True), ("b", 19_999, 10_000, False)]
 
 
-@pytest.mark.parametrize("name", ["expand_vector_whole", "pad_mask_whole", "user_sheet_whole", "type_report_whole", "null_profile_whole"])
+@pytest.mark.parametrize("name", ["expand_vector", "pad_mask", "user_sheet", "type_report", "null_profile"])
 def test_whole_rows_equal_their_sql(spark, tiny, name):
     con = duckdb.connect()
     for t in ("embeddings", "validated_user_transcript", "system_features_full"):

@@ -113,8 +113,8 @@ def test_orphans(spark):
     refs = [(1, "A", day(0)), (2, "A", day(1)), (3, "B", day(2)), (4, "B", day(3)), (5, "B", day(5)), (6, "C", day(9)), (7, "X", day(1)), (8, None, day(1)), (9, "X", None), (10, "A", None), (11, "D", day(1)), (11, "D", day(1))]
     d = spark.createDataFrame(refs, "id int, k string, t timestamp").withColumn("states", F.lit(0)).withColumn("n_ever", F.lit(0))
     r = spark.createDataFrame(reg, "key string, born timestamp, died timestamp")
-    for hot in (1, 10**6):
-        got = sorted((x.id, x.orphan_kind) for x in orphans(d, r, "k", "t", "key", "born", "died", hot_rows=hot).collect())
+    for rows in (2, 10**6):
+        got = sorted((x.id, x.orphan_kind) for x in orphans(d, r, "k", "t", "key", "born", "died", block_rows=rows).collect())
         assert got == [(1, "late"), (4, "deleted"), (6, "deleted"), (7, "missing"), (9, "missing"), (11, "late"), (11, "late")]
     assert orphans(d.limit(0), r, "k", "t", "key", "born", "died").count() == 0
     assert {x.orphan_kind for x in orphans(d, r.limit(0), "k", "t", "key", "born", "died").collect()} == {"missing"}
@@ -155,4 +155,4 @@ def spans(rows):
 def test_periods_against_brute_force(spark, raw):
     rows = [(e, s, None if s is None else s + n) for e, s, n in raw]
     d = spark.createDataFrame(rows, "e string, s bigint, t bigint").withColumn("span_kind", F.lit("clash"))
-    assert sorted(map(tuple, periods_and_gaps(d, "e", "s", "t", block_ms=20).collect())) == spans(rows)
+    assert sorted(map(tuple, periods_and_gaps(d, "e", "s", "t", block_rows=7).collect())) == spans(rows)

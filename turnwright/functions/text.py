@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import re
 
 import pandas as pd
@@ -9,6 +10,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from turnwright.functions.parses import nested_counts
+
 # Number words.
 ONES = "zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen".split()
 TENS = "zero ten twenty thirty forty fifty sixty seventy eighty ninety".split()
@@ -136,9 +139,26 @@ def has_word(c: Column, word: str) -> Column:
 
 
 def first_key(c: Column) -> Column:
-    """The first key of a parse in bracket notation: its first name; null where it begins with a group in parentheses."""
-    t = F.trim(F.regexp_replace(c, r"(?U)[\s ]+", " "))
-    return F.when(F.lower(t) == "semantic no match", "semantic_no_match").otherwise(F.when(~t.startswith("("), F.regexp_extract(t, r"^(\w+)", 1)))
+    """The first key of a parse in bracket notation: the first name of the innermost group left open, or of the text if all are closed; names in
+    closed groups are no keys of what lies around them. Empty where there is none, null for null."""
+    t = F.when(F.lower(F.trim(F.regexp_replace(c, r"(?U)[\s ]+", " "))) == "semantic no match", "semantic_no_match").otherwise(c)
+    tokens = F.regexp_extract_all(t, F.lit(r"(?U)([()]|\w+\[.*?\]|\w+)"), F.lit(1))
+
+    def step(first: Column, token: Column) -> Column:  # first: the first name of each open group, the innermost last
+        last = F.element_at(first, -1)
+        without = F.slice(first, 1, F.size(first) - 1)
+        named = F.concat(without, F.array(F.regexp_extract(token, r"(?U)^\w+", 0)))
+        closed = F.when(F.size(first) > 1, without).otherwise(first)
+        return F.when(token == "(", F.concat(first, F.array(F.lit("")))).when(token == ")", closed).when(last == "", named).otherwise(first)
+
+    return F.element_at(F.aggregate(tokens, F.array(F.lit("")), step), -1)
+
+
+@F.pandas_udf(T.StringType())
+def semantic_counts(parses: pd.Series) -> pd.Series:
+    """nested_counts() of each parse as JSON; null for null."""
+    done: dict = {}
+    return pd.Series([None if t is None else done[t] if t in done else done.setdefault(t, json.dumps(nested_counts(t), ensure_ascii=False)) for t in parses.where(parses.notna(), None)])
 
 
 def model_tag(name: str, short: bool = True) -> str:

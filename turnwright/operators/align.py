@@ -12,8 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from turnwright.functions.text import matching_key, ratio, similarity
-from turnwright.operators.ordered import running
-from turnwright.session import stage
+from turnwright.operators.ordered import blocked, running
 
 TOLERANCE_S, TEXT_RATIO = 0.5, 80.0
 WINDOW_RATIO, FULL_SCORE, MOST_SEGMENTS, NEAR = 60.0, 95.0, 5, 5
@@ -42,12 +41,12 @@ def user_segments(segments: DataFrame, users: DataFrame, tolerance: float = TOLE
     pairs = pairs.join(segments.select(F.col("id").alias("seg_id"), F.col("text").alias("a")), "seg_id").join(users.select(F.col("id").alias("user_id"), F.col("text").alias("b")), "user_id")
     n = F.length("a") + F.length("b")
     able = (n == 0) | (F.least(F.length("a"), F.length("b")) * 200.0 >= n * least)  # the length alone rules out most
-    pairs = stage(pairs.where(able).withColumn("r", similarity("a", "b")).where(F.col("r") >= least).select("CallID", "seg_id", "user_id", "seg_start", "user_start"), "align-pairs")
-    d = pairs.withColumn("_b", F.floor(F.col("seg_start") / 600))
+    pairs = pairs.where(able).withColumn("r", similarity("a", "b")).where(F.col("r") >= least).select("CallID", "seg_id", "user_id", "seg_start", "user_start")
     order = ["seg_start", "seg_id", "user_start", "user_id"]
-    start = running(d, ["CallID"], "_b", order, F.col("seg_start"), "max", "_p")
+    d, b = blocked(pairs, ["CallID"], order, "align-pairs")
+    start = running(d, ["CallID"], b, order, F.col("seg_start"), "max", "_p")
     start = start.withColumn("_n", F.when(F.col("_p").isNull() | (F.col("seg_start") > F.col("_p") + 4 * tolerance), F.struct("seg_start", "seg_id"))).drop("_p")
-    clusters = running(start, ["CallID"], "_b", order, F.col("_n"), "last", "cluster", inclusive=True)
+    clusters = running(start, ["CallID"], b, order, F.col("_n"), "last", "cluster", inclusive=True)
 
     def greedy(f: pd.DataFrame) -> pd.DataFrame:
         f = f.sort_values(["seg_start", "seg_id", "user_start", "user_id"])

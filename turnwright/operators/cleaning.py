@@ -12,10 +12,10 @@ from pyspark.sql import types as T
 from turnwright.functions.ids import tidy
 
 # Texts that mean a missing value, in cleaning and filtering and in extraction.
-VOCABULARY = ("", " ", "nan", "null", "None", "<NA>", "NA", "\\N")
-VOCABULARY_EXTRACTION = ("", " ", "nan", "NaN", "null", "NULL", "None", "none", "N/A")
+VOCABULARY = ("", "<NA>", "nan", "NA", "null", "None", "\\N", " ")
+VOCABULARY_EXTRACTION = ("", " ", "nan", "NaN", "N/A", "None", "null", "NULL", "none")
 # Synonyms of recogniser states and modalities, and the prefix of activities.
-STATUS = {"complete": "success", "no match": "reject", "no input": "timeout"}
+STATUS = {"no input": "timeout", "no match": "reject", "complete": "success"}
 MODALITY = {"voice": "speech"}
 ACTIVITY_PREFIX = "/LetsGoPublic/PerformTask/"
 

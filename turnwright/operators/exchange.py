@@ -4,19 +4,17 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from turnwright.functions.ids import usable
 from turnwright.functions.text import clean_agent, tidy_blanks
 from turnwright.operators.cleaning import safe_ratio
-from turnwright.operators.ordered import running
+from turnwright.operators.ordered import BLOCK_ROWS, blocked, running
 from turnwright.session import stage
 
-BLOCK_S = 600.0
 #: Place in the order of rows without a start: behind all others.
 LAST = 1e18
 # Short answers, and how long one may last in seconds.
-RESPONSES = ("yes", "no", "yeah", "yep", "nope", "ok", "okay", "sure", "right", "correct", "wrong")
+RESPONSES = ("yeah", "yes", "yep", "correct", "wrong", "huh", "uh", "okay", "ok", "right", "alright", "oh", "sure", "really", "no", "nope")
 RESPONSE_S = 1.001
 
 
@@ -24,8 +22,10 @@ def combine(agent: DataFrame, user: DataFrame) -> DataFrame:
     """Utterances (CallID, Speaker, StartTime, EndTime, Transcript, AgentPrompt, IQMedian, ord) of both sides.
 
     Needs an id in column ord. Rows without a call, agent rows without a prompt and user rows without a transcript are left out; times that
-    are no numbers are null; texts are cleaned by side. The two sides keep apart by Speaker.
+    are no numbers are null; texts are cleaned by side. The two sides keep apart by Speaker. The agent's prompt may also be called Prompt.
     """
+    if "AgentPrompt" not in agent.columns and "Prompt" in agent.columns:
+        agent = agent.withColumnRenamed("Prompt", "AgentPrompt")
     a = agent.where("CallID is not null and AgentPrompt is not null").select(
         "CallID", F.lit("agent").alias("Speaker"), usable(F.col("StartTime")).alias("StartTime"), usable(F.col("EndTime")).alias("EndTime"), clean_agent(F.coalesce("Transcript", F.lit(""))).alias("Transcript"), tidy_blanks(F.col("AgentPrompt")).alias("AgentPrompt"), "IQMedian", "ord"
     )
@@ -35,38 +35,35 @@ def combine(agent: DataFrame, user: DataFrame) -> DataFrame:
     return a.unionByName(u)
 
 
-def assign_users(utterances: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(agent turns with next_start and has_next; users with the agent row ag that owns them).
+def assign_users(utterances: DataFrame, block_rows: int = BLOCK_ROWS) -> tuple[DataFrame, DataFrame]:
+    """(agent turns with next_start and has_next; users with the agent row ag that owns them and prev_end, the end of the user before in it).
 
     A user belongs to the agent turn that began last before it, strictly. One that begins together with an agent turn, before the first, or
-    after a turn whose successor has no start, belongs to none. Calls are ordered in blocks of time with carried values, so a hot call is
-    spread over tasks.
+    after a turn whose successor has no start, belongs to none. Calls with more than block_rows rows are ordered in blocks with carried values.
     """
-    d = utterances.withColumn("_s", F.coalesce("StartTime", F.lit(LAST))).withColumn("_u", (F.col("Speaker") == "user").cast("int"))
-    d = d.withColumn("_b", F.floor(F.col("_s") / BLOCK_S)).where("_u = 0 or StartTime is not null")
-    d = stage(d, "exchange-rows")
+    d = utterances.withColumn("_s", F.coalesce("StartTime", F.lit(LAST))).withColumn("_u", (F.col("Speaker") == "user").cast("int")).where("_u = 0 or StartTime is not null")
     order = ["_s", "_u", "ord"]
+    d, b = blocked(d, ["CallID"], order, "exchange-rows", block_rows)
     mine = F.when(F.col("_u") == 0, F.struct("_s", "ord"))
-    slim = d.select("CallID", "_b", *order)
-    agents = running(slim.where("_u = 0"), ["CallID"], "_b", order, mine, "last", "_next", reverse=True)
-    agents = agents.select("CallID", "ord", F.when(F.col("_next._s") < LAST, F.col("_next._s")).alias("next_start"), F.col("_next").isNotNull().alias("has_next"))
-    turns = d.where("_u = 0").join(agents, ["CallID", "ord"])
-    users = running(slim, ["CallID"], "_b", order, mine, "last", "_own").where("_u = 1 and _own is not null and _own._s < _s")
-    users = users.select("CallID", "ord", F.col("_own.ord").alias("ag"))
-    users = d.where("_u = 1").join(users, ["CallID", "ord"])
-    open_ = turns.where("has_next and next_start is null").select("CallID", F.col("ord").alias("ag"))
-    return turns, users.join(open_, ["CallID", "ag"], "left_anti")
+    d = running(d, ["CallID"], b, order, mine, "last", "_own")
+    d = running(d, ["CallID"], b, order, mine, "last", "_next", reverse=True)
+    if b:
+        d = stage(d, "exchange-owned")
+    turns = d.where("_u = 0").withColumns({"next_start": F.when(F.col("_next._s") < LAST, F.col("_next._s")), "has_next": F.col("_next").isNotNull()})
+    users = d.where("_u = 1 and _own is not null and _own._s < _s and coalesce(_next._s, 0D) < 1e18D").withColumn("ag", F.col("_own.ord"))
+    users = running(users, ["CallID"], b, ["_s", "ord"], F.struct("ag", "EndTime"), "last", "_before")
+    return turns, users.withColumn("prev_end", F.when(F.col("_before.ag") == F.col("ag"), F.col("_before.EndTime")))
 
 
-def exchanges(utterances: DataFrame, responses: tuple[str, ...] = RESPONSES, response_s: float = RESPONSE_S) -> DataFrame:
+def exchanges(utterances: DataFrame, responses: tuple[str, ...] = RESPONSES, response_s: float = RESPONSE_S, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """One row per agent turn with its users' times, text, short answers and pauses.
 
     A pause is a positive gap between a user's start and the previous user's end within the exchange; its numbers are rounded to two places,
-    the deviation is that of the population. Exchanges without users have zeros and no user times.
+    the deviation is that of the population. Exchanges without users have zeros and no user times. The text of an exchange is one value, so
+    only it grows with the exchange's length.
     """
-    turns, users = assign_users(utterances)
-    w = Window.partitionBy("CallID", "ag").orderBy("_s", "ord")
-    gap = F.col("StartTime") - F.lag("EndTime").over(w)
+    turns, users = assign_users(utterances, block_rows)
+    gap = F.col("StartTime") - F.col("prev_end")
     short = F.lower(F.trim("Transcript")).isin(*responses) & (F.col("EndTime") - F.col("StartTime") < response_s)
     u = users.withColumn("gap", F.when(gap > 0, gap)).withColumn("short", F.coalesce(short, F.lit(False)))
     spoken = F.array_sort(F.collect_list(F.struct("_s", "ord", "Transcript")))
@@ -106,11 +103,11 @@ def exchanges(utterances: DataFrame, responses: tuple[str, ...] = RESPONSES, res
     )
 
 
-def turn_taking(e: DataFrame) -> DataFrame:
+def turn_taking(e: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """Durations, latencies, overlaps, interruptions and prompt completion of exchanges, in order of start within the call."""
-    e = stage(e.withColumn("_s", F.coalesce("StartTime", F.lit(LAST))).withColumn("_b", F.floor(F.col("_s") / BLOCK_S)), "exchange-turns")
-    before = running(e.select("CallID", "_b", "_s", "turn_id", "UserEndTime"), ["CallID"], "_b", ["_s", "turn_id"], F.struct("UserEndTime"), "last", "_p")
-    d = e.join(before.select("CallID", "turn_id", F.col("_p.UserEndTime").alias("_prev")), ["CallID", "turn_id"])
+    order = ["_s", "turn_id"]
+    d, b = blocked(e.withColumn("_s", F.coalesce("StartTime", F.lit(LAST))), ["CallID"], order, "exchange-turns", block_rows)
+    d = running(d, ["CallID"], b, order, F.struct("UserEndTime"), "last", "_p").withColumn("_prev", F.col("_p.UserEndTime"))
     d = d.withColumns({
         "AgentTurnDuration": F.col("AgentEndTime") - F.col("StartTime"),
         "UserTurnDuration": F.coalesce(F.col("UserEndTime") - F.col("UserStartTime"), F.lit(0.0)),
@@ -128,4 +125,4 @@ def turn_taking(e: DataFrame) -> DataFrame:
         "AgentOverlapDuration": F.greatest(-F.col("AgentResponseLatency"), F.lit(0.0)),
         "UserInterruptsAgent": over & (said < asked),
         "PromptCompletionRatio": F.when(asked > 0, said / asked).when(said == 0, 1.0).otherwise(0.0),
-    }).drop("_s", "_b", "_prev")
+    }).drop("_s", "_blk", "_p", "_prev")

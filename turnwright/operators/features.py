@@ -8,7 +8,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from turnwright.operators.ordered import position
+from turnwright.operators.ordered import place
 
 
 def route(columns: list[str], rules: dict[str, tuple[tuple[str, ...], tuple[str, ...]]]) -> dict[str, list[str]]:
@@ -86,12 +86,10 @@ def filled_rows(vectors: Column) -> Column:
 
 def chunks(df: DataFrame, part: str, ordinal: str, size: int) -> DataFrame:
     """df plus chunk_no and place_in_chunk: rows of a part in order of ordinal (unique in it, whole), cut into chunks of size rows."""
-    d = df.where(F.col(part).isNotNull() & F.col(ordinal).isNotNull()).withColumn("_b", F.floor(F.col(ordinal) / 100_000))
-    d = position(d, [part], "_b", [ordinal], "_n")
-    return d.withColumn("chunk_no", F.floor(F.col("_n") / size)).withColumn("place_in_chunk", F.col("_n") % size).drop("_b", "_n")
+    d = place(df.where(F.col(part).isNotNull() & F.col(ordinal).isNotNull()), [part], [ordinal], "_n")
+    return d.withColumn("chunk_no", F.floor(F.col("_n") / size)).withColumn("place_in_chunk", F.col("_n") % size).drop("_n")
 
 
 def warm_up_trim(df: DataFrame, part: str, ordinal: str, skip: int = 2) -> DataFrame:
     """df without the first skip rows of each part."""
-    d = df.where(F.col(part).isNotNull()).withColumn("_b", F.floor(F.col(ordinal) / 100_000))
-    return position(d, [part], "_b", [ordinal], "_n").where(F.col("_n") >= skip).drop("_b", "_n")
+    return place(df.where(F.col(part).isNotNull()), [part], [ordinal], "_n").where(F.col("_n") >= skip).drop("_n")

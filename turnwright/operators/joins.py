@@ -5,17 +5,29 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from turnwright.operators.ordered import BLOCK_ROWS, blocked, running
 
-def nearest_place(left: DataFrame, right: DataFrame, on: list[str], left_place: str, right_place: str, left_id: str) -> DataFrame:
+
+def nearest_place(left: DataFrame, right: DataFrame, on: list[str], left_place: str, right_place: str, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """Each row of left with the row of right that has the same keys and the nearest place (of two the lower); rows without one are left out.
 
-    One row of right may serve several of left. Both places are whole numbers; names shared beyond the keys must have been told apart before.
+    Both sides are put in one order by place, in which each row of left sees the last row of right before it and the first behind: no pairs of a
+    key are made, and a key with more than block_rows rows is spread. One row of right may serve several of left. Rows with a null key or place
+    have no partner. Places are whole numbers; names shared beyond the keys must have been told apart before.
     """
-    m = left.join(right, on)
-    d = F.abs(F.col(left_place) - F.col(right_place))
-    cols = [c for c in m.columns if c != left_id]
-    best = m.groupBy(left_id).agg(F.min_by(F.struct(*cols), F.struct(d, F.col(right_place))).alias("_m"))
-    return best.select(left_id, "_m.*")
+    rest = [c for c in left.columns if c not in on]
+    other = [c for c in right.columns if c not in on]
+    row, hit = F.struct(*[F.col(f"`{c}`") for c in rest]), F.struct(*[F.col(f"`{c}`") for c in other])
+    full = lambda place: " and ".join(f"`{c}` is not null" for c in [*on, place])
+    a = left.where(full(left_place)).select(*on, F.col(left_place).cast("bigint").alias("_at"), F.lit(1).alias("_side"), row.alias("_row"))
+    b = right.where(full(right_place)).select(*on, F.col(right_place).cast("bigint").alias("_at"), F.lit(0).alias("_side"), hit.alias("_hit"))
+    d, blk = blocked(a.unionByName(b, allowMissingColumns=True), on, ["_at", "_side"], "nearest", block_rows)
+    seen = F.when(F.col("_side") == 0, F.struct("_at", "_hit"))
+    d = running(d, on, blk, ["_at", "_side"], seen, "last", "_lo")
+    d = running(d, on, blk, ["_at", "_side"], seen, "last", "_hi", reverse=True)
+    nearer = F.col("_hi._at") - F.col("_at") < F.col("_at") - F.col("_lo._at")
+    best = F.when(F.col("_lo").isNull() | nearer, F.col("_hi")).otherwise(F.col("_lo"))
+    return d.where("_side = 1").withColumn("_best", best).where("_best is not null").select(*on, "_row.*", "_best._hit.*")
 
 
 def keys_in_common(*frames: DataFrame, key: str) -> DataFrame:

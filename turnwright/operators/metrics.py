@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from turnwright.operators.ordered import running
+from turnwright.operators.ordered import BLOCK_ROWS, blocked, running
 
 
 def confusion(df: DataFrame, true: str, predicted: str) -> DataFrame:
@@ -45,17 +45,20 @@ def describe(df: DataFrame, columns: list[str], by: str | None = None) -> DataFr
     return m.join(q, [*part, "column_name"]).select(*part, "column_name", "count", "mean", "std", "min", "q25", "q50", "q75", "max")
 
 
-def quantiles(df: DataFrame, part: list[str], value: str, shares: dict[str, float], blocks: int = 256) -> DataFrame:
+def quantiles(df: DataFrame, part: list[str], value: str, shares: dict[str, float], block_rows: int = BLOCK_ROWS) -> DataFrame:
     """Exact quantiles with linear interpolation of each part: (part, one column for each share).
 
-    Equal values are counted first; their places come from running counts over blocks of values whose edges are approximate quantiles of the
-    whole column, so neither a large part nor many distinct values end up in one task.
+    Equal values are counted first; their places come from running counts, in blocks where a part has many distinct values, so neither a large
+    part nor many distinct values end up in one task.
     """
-    edges = df.agg(F.percentile_approx(value, [i / blocks for i in range(1, blocks)], 10_000)).first()[0] or []
     n = df.groupBy(*part, F.col(value).alias("_v")).agg(F.count(F.lit(1)).alias("_n"))
-    n = n.withColumn("_b", F.size(F.filter(F.lit(edges) if edges else F.array().cast("array<double>"), lambda e: e < F.col("_v"))))
-    total = n.groupBy(*part).agg(F.sum("_n").alias("_t"))
-    d = running(n, part, "_b", ["_v"], F.col("_n"), "sum", "_before").join(total, part)
+    n, b = blocked(n, part, ["_v"], "counts", block_rows)
+    d = running(n, part, b, ["_v"], F.col("_n"), "sum", "_before")
+    if b is None:
+        d = d.withColumn("_t", F.sum("_n").over(Window.partitionBy(*part)))
+    else:  # one number a part
+        total = n.groupBy(*part).agg(F.sum("_n").alias("_t"))
+        d = d.join(total, part) if part else d.withColumn("_t", F.lit(total.first()[0]))
     at, out = {}, []
     for name, s in shares.items():
         h = (F.col("_t") - 1) * s

@@ -5,15 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from turnwright.operators.ordered import position
+from turnwright.operators.ordered import place
 
 
 def ranked_groups(df: DataFrame, group: str, seed: int) -> DataFrame:
-    """(group, place, n): distinct groups in an order fixed by the seed; blocks of the hash's first digits are counted apart."""
+    """(group, place, n): distinct groups in an order fixed by the seed, that of a hash."""
     d = df.select(F.col(group).cast("string").alias("g")).where("g is not null").distinct()
-    d = d.withColumn("h", F.md5(F.concat(F.lit(f"{seed}:"), "g"))).withColumn("b", F.conv(F.substring("h", 1, 3), 16, 10).cast("int"))
-    n = d.count()
-    return position(d, [], "b", ["h", "g"], "place").select(F.col("g").alias(group), "place", F.lit(n).cast("bigint").alias("n"))
+    d = place(d.withColumn("h", F.md5(F.concat(F.lit(f"{seed}:"), "g"))), [], ["h", "g"], "place")
+    return d.select(F.col("g").alias(group), "place", F.lit(d.count()).cast("bigint").alias("n"))
 
 
 def group_split(df: DataFrame, group: str, share: float = 0.8, seed: int = 42) -> DataFrame:

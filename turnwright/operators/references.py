@@ -5,8 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from turnwright.operators.ordered import running
-from turnwright.operators.skew import salted_join
+from turnwright.operators.ordered import BLOCK_ROWS, blocked, running
 
 
 def existence_deltas(register: DataFrame, key: str, born: str, died: str) -> DataFrame:
@@ -25,31 +24,32 @@ def existence_deltas(register: DataFrame, key: str, born: str, died: str) -> Dat
     return d.select("key", "c.*")
 
 
-def orphans(references: DataFrame, register: DataFrame, key: str, at: str, register_key: str, born: str, died: str, hot_rows: int = 200_000) -> DataFrame:
+def orphans(references: DataFrame, register: DataFrame, key: str, at: str, register_key: str, born: str, died: str, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """The references, plus orphan_kind, whose key doesn't exist at their time.
 
-    References and existence deltas of a key are put in order of time; the running sum of the deltas at a reference is its key's existence
-    count then, and a reference, which counts +1, is an orphan where that is zero: 'missing' if the register never names the key, 'deleted' if
-    an entry was born by then, else 'late'. Time runs in blocks of a day with carried sums, so a key that holds a third of all references, or of
-    the register, is in no single task. Rows without a key are no references. A reference without a time is an orphan only if its key is
-    missing. Repeated references come out as often as they went in. All columns of references are kept; names beginning with an underscore
-    and orphan_kind are reserved.
+    The state of each key is kept through time as signed counts: a reference adds one to n_ref when it comes, changes of the register add and take
+    from n_exist (see existence_deltas). References that come to a state with n_ref > 0 and n_exist <= 0 are orphans: 'missing' if the register
+    never names the key, 'deleted' if an entry was born by then, else 'late'. Counts are running sums over the deltas of a key in order of time,
+    with carried sums where a key has more than block_rows, so a key that holds a third of all references, or of the register, is in no single
+    task; nothing is broadcast. Rows without a key are no references. A reference without a time is an orphan only if its key is missing. Repeated
+    references come out as often as they went in. All columns of references are kept; names beginning with an underscore and orphan_kind are
+    reserved.
     """
-    refs = references.where(F.col(key).isNotNull()).select(F.col(key).alias("_key"), F.col(at).cast("timestamp").alias("_at"), F.struct(*[F.col(f"`{c}`") for c in references.columns]).alias("_row"))
-    deltas = existence_deltas(register, register_key, born, died)
-    known = register.where(F.col(register_key).isNotNull()).select(F.col(register_key).alias("_key")).distinct().withColumn("_known", F.lit(True))
-    changes = deltas.where("at is not null").groupBy(F.col("key").alias("_key"), F.col("at").cast("timestamp").alias("_at")).agg(F.sum("d_exist").alias("_e"), F.sum("d_ever").alias("_v"))
-    zero = F.lit(0).cast("bigint")
-    kind = refs.schema["_row"].dataType
-    events = changes.select("_key", "_at", F.lit(0).alias("_ref"), "_e", "_v", F.lit(None).cast(kind).alias("_row"))
-    events = events.unionByName(refs.where("_at is not null").select("_key", "_at", F.lit(1).alias("_ref"), zero.alias("_e"), zero.alias("_v"), "_row"))
-    events = events.withColumn("_day", F.floor(F.unix_micros("_at") / 86_400_000_000))
-    run = running(events, ["_key"], "_day", ["_at", "_ref"], {"_exist": F.col("_e"), "_ever": F.col("_v")}, "sum")
-    lost = run.where("_ref = 1 and _exist <= 0").select("_key", "_row", (F.col("_ever") > 0).alias("_was"))
-    lost = lost.unionByName(refs.where("_at is null").select("_key", "_row", F.lit(None).cast("boolean").alias("_was")))
-    j = salted_join(lost, known, "_key", "left", hot_rows=hot_rows)
-    found = F.when(F.col("_known").isNull(), "missing").when(F.col("_was"), "deleted").when(~F.col("_was"), "late")
-    return j.select("_row.*", found.alias("orphan_kind")).where("orphan_kind is not null")
+    none = F.lit(0).cast("bigint")
+    refs = references.where(F.col(key).isNotNull()).select(F.col(key).alias("key"), F.col(at).cast("timestamp").alias("at"), F.struct(*[F.col(f"`{c}`") for c in references.columns]).alias("_row"))
+    changes = existence_deltas(register, register_key, born, died).where("at is not null").groupBy("key", F.col("at").cast("timestamp").alias("at")).agg(F.sum("d_exist").alias("d_exist"), F.sum("d_ever").alias("d_ever"))
+    named = register.where(F.col(register_key).isNotNull()).select(F.col(register_key).alias("key")).distinct()
+    row = F.lit(None).cast(refs.schema["_row"].dataType).alias("_row")
+    # of one instant, and so of all without a time, the name comes first, then changes of the register, then references
+    deltas = named.select("key", F.lit(None).cast("timestamp").alias("at"), F.lit(0).alias("_turn"), none.alias("d_ref"), none.alias("d_exist"), none.alias("d_ever"), F.lit(1).cast("bigint").alias("d_named"), row)
+    deltas = deltas.unionByName(changes.select("key", "at", F.lit(1).alias("_turn"), none.alias("d_ref"), "d_exist", "d_ever", none.alias("d_named"), row))
+    deltas = deltas.unionByName(refs.select("key", "at", F.lit(2).alias("_turn"), F.lit(1).cast("bigint").alias("d_ref"), none.alias("d_exist"), none.alias("d_ever"), none.alias("d_named"), "_row"))
+    deltas = deltas.withColumn("_us", F.coalesce(F.unix_micros("at"), F.lit(-(2**63)).cast("bigint")))
+    deltas, b = blocked(deltas, ["key"], ["_us", "_turn"], "p5-deltas", block_rows)
+    state = running(deltas, ["key"], b, ["_us", "_turn"], {f"n_{x}": F.col(f"d_{x}") for x in ("ref", "exist", "ever", "named")}, "sum", inclusive=True)
+    late = F.when(F.col("at").isNotNull(), F.when(F.col("n_ever") > 0, "deleted").otherwise("late"))
+    kind = F.when(F.col("n_named") == 0, "missing").otherwise(late)
+    return current_orphans(state.where("_turn = 2")).select("_row.*", kind.alias("orphan_kind")).where("orphan_kind is not null")
 
 
 def reference_deltas(references: DataFrame, key: str, sign: int = 1) -> DataFrame:

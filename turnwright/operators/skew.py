@@ -5,23 +5,31 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-MOST_HOT = 1000
+from turnwright.session import stage
 
+#: At most so many keys are hot: each holds more than 1 / MOST_HOT of the rows.
+MOST_HOT = 20_000
 
-def salted_join(big: DataFrame, small: DataFrame, on: str, how: str = "inner", hot_rows: int = 200_000, salts: int = 64) -> DataFrame:
+
+def salted_join(big: DataFrame, small: DataFrame, on: str, how: str = "inner", hot_rows: int = 200_000) -> DataFrame:
     """Join big to small, whose rows per key are few, so that a hot key of big is spread over many tasks.
 
-    Hot are the MOST_HOT keys with the most rows, if they have more than hot_rows: a set of bounded size, beyond which a key holds less than
-    1 / MOST_HOT of the rows. Only their rows of small are repeated, once per salt, and only their rows of big get a salt, a hash of the row
-    that a repeated task computes again. Null keys match nothing; with how='left' they stay and are spread over the salts too.
+    Hot are keys with more than hot_rows rows, or more than 1 / MOST_HOT of all rows if that is more. A hot key gets one salt for each hot_rows
+    of its rows: its rows of small are repeated once per salt, and each of its rows of big gets the salt of a hash of the row, which a repeated
+    task computes again. Null keys match nothing; with how='left' they stay, and if they are many they are spread too. Without hot keys this is
+    a plain join. big is read twice (once its key only), so it should be a stored table.
     """
     if how not in ("inner", "left"):
         raise ValueError(how)
-    counts = big.where(F.col(on).isNotNull()).groupBy(on).count().where(F.col("count") > hot_rows)
-    hot = counts.orderBy(F.desc("count"), on).limit(MOST_HOT).select(on, F.lit(True).alias("_hot"))
-    wide = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
-    right = small.join(F.broadcast(hot), on, "left").withColumn("_salt", F.explode(wide)).drop("_hot")
-    cols = [F.col(c) for c, t in big.dtypes if not t.startswith("map")]
-    salt = F.when(F.col("_hot") | F.col(on).isNull(), F.pmod(F.xxhash64(*cols), F.lit(salts)).cast("int")).otherwise(0)
-    left = big.join(F.broadcast(hot), on, "left").withColumn("_salt", salt).drop("_hot")
+    counts = big.groupBy(F.col(on).alias("_k")).agg(F.count(F.lit(1)).alias("_n"))
+    most, total = counts.agg(F.max("_n"), F.sum("_n")).first()
+    if (most or 0) <= hot_rows:
+        return big.join(small, on, how)
+    rows = max(hot_rows, -(-total // MOST_HOT))
+    hot = F.broadcast(stage(counts.where(F.col("_n") > rows).select("_k", F.ceil(F.col("_n") / rows).cast("int").alias("_salts")), "hot"))
+    wide = F.sequence(F.lit(0), F.coalesce(F.col("_salts"), F.lit(1)) - 1)
+    right = small.join(hot, small[on] == hot["_k"], "left").withColumn("_salt", F.explode(wide)).drop("_k", "_salts")
+    cols = [F.col(f"`{c}`") for c, t in big.dtypes if "map<" not in t]
+    salt = F.when(F.col("_salts").isNotNull(), F.pmod(F.xxhash64(*cols), F.col("_salts")).cast("int")).otherwise(0)
+    left = big.join(hot, big[on].eqNullSafe(hot["_k"]), "left").withColumn("_salt", salt).drop("_k", "_salts")
     return left.join(right, [on, "_salt"], how).drop("_salt")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from turnwright.functions import text as X
 from turnwright.functions.ids import call_id, present, usable
 from turnwright.operators import align, cleaning, exchange, features, joins, metrics, partitions, signal, stats
-from turnwright.operators.ordered import fill_ordered, position
+from turnwright.operators.ordered import fill_ordered, place
 from turnwright.plans import sqltext as S
 from turnwright.sources import readers, writers
 
@@ -109,22 +109,13 @@ def global_ffill(spark, d):
     return fill_ordered(t, "ord", "CallID", "filled").select(F.col("ord").alias("turn_id"), F.col("filled").alias("CallID"))
 
 
-PROFILED = ["CallID", "Prompt", "Utterance", "SemanticParse", "DD", "Modality", "ActivityType", "IQRater1", "IQMedian"]
-_any = " or ".join(f"{c} is null" for c in PROFILED)
-
-
-@query(" union all ".join(f"select '{c}' as column_name, count(*) filter (where {c} is null) as n_null from {S.LOG}" for c in PROFILED) + f" union all select '*any*', count(*) filter (where {_any}) from {S.LOG}")
-def null_profile(spark, d):
-    return cleaning.null_profile(log(spark, d, *PROFILED).select(*PROFILED))
-
-
 ALL_TEXTS = ["CallID", "Prompt", "Utterance", "SemanticParse", "DD", "ASRRecognitionStatus", "Modality", "Activity", "ActivityType", "ExMo", "RoleName", "LoopName"]
 ALL_COLUMNS = ["log_id", "logged_at", "received_at", "exchange_no", *ALL_TEXTS, "ASRConfidence", "MeanASRConfidence", "IQRater1", "IQRater2", "IQRater3", "IQMedian"]
 _every = f"with l as materialized {S.LOG} "
 
 
 @query(_every + " union all ".join(f"select '{c}' as column_name, count(*) filter (where {c} is null) as n_null from l" for c in ALL_COLUMNS) + f" union all select '*any*', count(*) filter (where {' or '.join(f'{c} is null' for c in ALL_COLUMNS)}) from l")
-def null_profile_whole(spark, d):
+def null_profile(spark, d):
     return cleaning.null_profile(table(spark, d, "system_features_full").dropDuplicates(["log_id"]))
 
 
@@ -144,23 +135,23 @@ def keyword_flags(spark, d):
     return log(spark, d, "SemanticParse").select("log_id", *[X.has_word(F.col("SemanticParse"), k).alias(f"{k}_present") for k in KEYS])
 
 
-@query(f"select log_id, case when lower(t) = 'semantic no match' then 'semantic_no_match' when not starts_with(t, '(') then regexp_extract(t, '^(\\w+)', 1) end as first_key from (select log_id, {S.blanks('SemanticParse')} as t from {S.LOG})")
+@query(f"select log_id, {S.first_key('SemanticParse')} as first_key from {S.LOG}")
 def semantic_first_key(spark, d):
     return log(spark, d, "SemanticParse").select("log_id", X.first_key(F.col("SemanticParse")).alias("first_key"))
 
 
+@query()
+def semantic_counts(spark, d):
+    return log(spark, d, "SemanticParse").select("log_id", X.semantic_counts(F.col("SemanticParse")).alias("counts"))
+
+
 @query("select l_orderkey, l_linenumber, l_extendedprice, l_discount from lineitem")
 def column_algebra(spark, d):
     return cleaning.drop_columns(table(spark, d, "lineitem"), exact=["L_TAX", "L_Quantity"], keywords=["date", "status", "flag"], pattern="part|supp")
 
 
-@query(f"select '{'RoleName'}' as column_name, count(*) as n, true as as_category from {S.LOG}")
-def type_report(spark, d):
-    return cleaning.type_report(log(spark, d, "RoleName")).select("column_name", "n", "as_category")
-
-
 @query(_every + " union all ".join(f"select '{c}' as column_name, count(*) as n, count(distinct {c}) as n_distinct, count(distinct {c}) / count(*)::double < 0.5 as as_category from l" for c in ALL_TEXTS))
-def type_report_whole(spark, d):
+def type_report(spark, d):
     return cleaning.type_report(table(spark, d, "system_features_full").dropDuplicates(["log_id"]))
 
 
@@ -229,11 +220,11 @@ _pl = f"(select log_id, {S.cid('CallID')} as c, {S.prompt('Prompt')} as p, IQMed
 
 @query(f"select a.turn_id, arg_min(l.log_id, (abs(a.n - l.n)) * 1000000000 + l.n) as log_id from {_pa} a join {_pl} l on a.c = l.c and a.p = l.p and a.q = l.q group by a.turn_id")
 def nearest_ordinal_join(spark, d):
-    a = agent(spark, d).where("CallID is not null").select("CallID", "ord", X.prompt_key(F.col("AgentPrompt")).alias("p"), "IQMedian").withColumn("_b", F.floor(F.col("ord") / 100_000))
-    m = log(spark, d, "CallID", "Prompt", "IQMedian").select("log_id", call_id(F.col("CallID")).alias("CallID"), X.prompt_key(F.col("Prompt")).alias("p"), "IQMedian").where("CallID is not null").withColumn("_b", F.floor(F.col("log_id") / 100_000))
-    a = position(a, ["CallID"], "_b", ["ord"], "place").drop("_b").withColumnRenamed("ord", "turn_id")
-    m = position(m, ["CallID"], "_b", ["log_id"], "log_place").drop("_b")
-    return joins.nearest_place(a, m, ["CallID", "p", "IQMedian"], "place", "log_place", "turn_id").select("turn_id", "log_id")
+    a = agent(spark, d).where("CallID is not null").select("CallID", "ord", X.prompt_key(F.col("AgentPrompt")).alias("p"), "IQMedian")
+    m = log(spark, d, "CallID", "Prompt", "IQMedian").select("log_id", call_id(F.col("CallID")).alias("CallID"), X.prompt_key(F.col("Prompt")).alias("p"), "IQMedian").where("CallID is not null")
+    a = place(a, ["CallID"], ["ord"], "place").withColumnRenamed("ord", "turn_id")
+    m = place(m, ["CallID"], ["log_id"], "log_place")
+    return joins.nearest_place(a, m, ["CallID", "p", "IQMedian"], "place", "log_place").select("turn_id", "log_id")
 
 
 # ---- text
@@ -272,9 +263,8 @@ _a = f"(select {S.cid('CallID')} as c, turn_id as id, {S.finite('StartTime')} as
 _u = f"(select {S.cid('CallID')} as c, utt_id as id, {S.finite('StartTime')} as s, {S.finite('EndTime')} as e, {S.blanks('Transcript')} as t from {S.USER} where {S.cid('CallID')} is not null and Transcript is not null)"
 _an = f"(select *, lead(s) over (partition by c order by s nulls last, id) as ns, lead(id) over (partition by c order by s nulls last, id) is not null as has_next from {_a})"
 _own = f"(select a.c, a.id as ag, u.id as ui, u.s, u.e, u.t from {_an} a join {_u} u on u.c = a.c and u.s > a.s and (not a.has_next or u.s < a.ns))"
-_words = ", ".join(f"'{x}'" for x in exchange.RESPONSES)
 _ex = f"""(with o as (select *, s - lag(e) over (partition by c, ag order by s, ui) as gap from {_own}),
- g as (select c, ag, min(s) as us, max(e) as ue, count(*) as n, count(*) filter (where lower(t) in ({_words}) and e - s < {exchange.RESPONSE_S}) as rt, string_agg(t, ' ' order by s, ui) as said,
+ g as (select c, ag, min(s) as us, max(e) as ue, count(*) as n, count(*) filter (where lower(t) in ({S.RESPONSES}) and e - s < {exchange.RESPONSE_S}) as rt, string_agg(t, ' ' order by s, ui) as said,
   count(*) filter (where gap > 0) as np, round(avg(gap) filter (where gap > 0), 2) as pa, round(sum(gap) filter (where gap > 0), 2) as ps, round(stddev_pop(gap) filter (where gap > 0), 2) as pd from o group by c, ag)
  select a.c as CallID, a.id as turn_id, a.s as StartTime, case when has_next then ns else coalesce(ue, a.e) end as EndTime, a.e as AgentEndTime, us as UserStartTime, ue as UserEndTime,
   case when n > 0 then a.t || ' [SEP] ' || said else a.t end as CombinedTranscript, a.t as AgentTranscript, a.p as AgentPrompt, coalesce(rt, 0) as ResponseTokenCount, coalesce(n, 0) as NumConsecutiveUserUtterances, coalesce(n, 0) > 1 as HasConsecutiveUserUtterances,
@@ -338,12 +328,10 @@ def user_segment_greedy(spark, d):
 
 @query()
 def align_greedy(spark, d):
-    place = lambda t, by: position(t.withColumn("_b", F.floor(F.col(by) / 600)), ["CallID"], "_b", [by, "id"], "place").drop("_b")
     prompts = agent(spark, d).where("CallID is not null and AgentPrompt is not null").select("CallID", F.col("ord").alias("id"), X.tidy_blanks(F.col("AgentPrompt")).alias("text"))
     segments, _ = _sides(spark, d)
-    segments = place(segments.withColumn("s", F.coalesce("start", F.lit(1e18))), "s").select("CallID", "id", "place", "text", (F.col("id") > 0).alias("is_user"))
-    prompts = position(prompts.withColumn("_b", F.floor(F.col("id") / 100_000)), ["CallID"], "_b", ["id"], "place").drop("_b")
-    return align.align_prompts(prompts, segments)
+    segments = place(segments.withColumn("s", F.coalesce("start", F.lit(1e18))), ["CallID"], ["s", "id"], "place").select("CallID", "id", "place", "text", (F.col("id") > 0).alias("is_user"))
+    return align.align_prompts(place(prompts, ["CallID"], ["id"], "place"), segments)
 
 
 @query(f"select c as CallID, arg_max(Speaker, n * 1000000000000 - f) as Speaker from (select {S.cid('CallID')} as c, Speaker, count(*) as n, min(utt_id) as f from {S.USER} where {S.cid('CallID')} is not null and Speaker is not null group by all) group by c")
@@ -378,15 +366,8 @@ def audio_inventory(spark, d):
     return readers.audio_pairs(t.select(F.explode(F.array("dyad_path", "user_path")).alias("p")), "p")
 
 
-@query(f"select utt_id, c as CallID, Speaker, case when s is not null then cast(round(cast(s as decimal(18,6)), 2) as varchar) end as StartTime, case when e is not null then cast(round(cast(e as decimal(18,6)), 2) as varchar) end as EndTime from (select utt_id, {S.cid('CallID')} as c, Speaker, {S.finite('StartTime')} as s, {S.finite('EndTime')} as e from {S.USER})")
-def user_sheet(spark, d):
-    u = user(spark, d).withColumn("StartTime", usable(F.col("StartTime"))).withColumn("EndTime", usable(F.col("EndTime")))
-    two = writers.user_sheet(u.withColumn("Transcript", F.col("ord"))).withColumnRenamed("Transcript", "utt_id")
-    return two.select("utt_id", "CallID", "Speaker", "StartTime", "EndTime")
-
-
 @query(f"select utt_id, c as CallID, Speaker, case when s is not null then cast(round(cast(s as decimal(18,6)), 2) as varchar) end as StartTime, case when e is not null then cast(round(cast(e as decimal(18,6)), 2) as varchar) end as EndTime, Transcript from (select utt_id, Transcript, {S.cid('CallID')} as c, Speaker, {S.finite('StartTime')} as s, {S.finite('EndTime')} as e from {S.USER})")
-def user_sheet_whole(spark, d):
+def user_sheet(spark, d):
     u = user(spark, d).withColumn("StartTime", usable(F.col("StartTime"))).withColumn("EndTime", usable(F.col("EndTime")))
     return writers.user_sheet(u.withColumnRenamed("ord", "utt_id"), "utt_id")
 
@@ -453,13 +434,8 @@ def pca_group(spark, d):
     return a.unionByName(b).select("vec_id", "label", F.size("embedding").alias("n_components"), F.transform("embedding", lambda x: F.round(x, 4)).alias("components"))
 
 
-@query("select vec_id, " + ", ".join(f"embedding[{i + 1}] as dim{i}" for i in range(8)) + " from embeddings")
-def expand_vector(spark, d):
-    return features.expand(table(spark, d, "embeddings").select("vec_id", "embedding"), "embedding", 8, "dim")
-
-
 @query("select vec_id, " + ", ".join(f"embedding[{i + 1}] as dim{i}" for i in range(64)) + " from embeddings")
-def expand_vector_whole(spark, d):
+def expand_vector(spark, d):
     t = table(spark, d, "embeddings").select("vec_id", "embedding")
     return features.expand(t, "embedding", features.longest(t, "embedding"), "dim")
 
@@ -470,15 +446,8 @@ def mean_pool(spark, d):
     return t.groupBy("label", "place").agg(F.round(F.avg(F.col("v").cast("double")), 4).alias("v"))
 
 
-@query("select vec_id, round(list_sum([x::double for x in embedding[1:8]]) / 8, 4) as pooled, cast(len(embedding) as int) as n from embeddings")
-def pad_mask(spark, d):
-    t = table(spark, d, "embeddings").select("vec_id", F.slice("embedding", 1, 8).cast("array<double>").alias("x"), F.size("embedding").alias("n"))
-    t = t.withColumn("padded", F.transform(features.pad(F.col("x"), 12, 0.0), lambda v: F.array(v))).withColumn("mask", F.transform(F.sequence(F.lit(1), F.lit(12)), lambda i: i <= 8))
-    return t.select("vec_id", F.round(features.mean_pool(F.col("padded"), F.col("mask"))[0], 4).alias("pooled"), "n")
-
-
 @query("select vec_id, round(list_sum([x::double for x in embedding]) / len(embedding), 4) as pooled, cast(len(embedding) as int) as n from embeddings")
-def pad_mask_whole(spark, d):
+def pad_mask(spark, d):
     t = table(spark, d, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("x"), F.size("embedding").alias("n"))
     t = features.pad_all(t, "x").withColumn("padded", F.transform("padded", lambda v: F.array(v)))
     return t.select("vec_id", F.round(F.get(features.mean_pool(F.col("padded"), F.col("mask")), F.lit(0)), 4).alias("pooled"), "n")

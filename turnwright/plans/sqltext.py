@@ -52,6 +52,18 @@ def prompt(c: str) -> str:
     return rf"trim(regexp_replace({t}, '[\s\x{{00a0}}]+', ' ', 'g'))"
 
 
+def first_key(c: str) -> str:
+    """The first name behind the last opening mark left when closed groups are taken out, at most 32 in each other."""
+    w = r"[\pL\pN_]+"
+    t = rf"regexp_replace({c}, '({w})\[.*?\]', '\1', 'g')"
+    for _ in range(32):
+        t = rf"regexp_replace({t}, '\([^()]*\)', ' ', 'g')"
+    return rf"case when lower({blanks(c)}) = 'semantic no match' then 'semantic_no_match' else regexp_extract(regexp_replace({t}, '(?s)^.*\(', ''), '{w}') end"
+
+
+# Short answers.
+RESPONSES = "'yeah', 'yes', 'yep', 'correct', 'wrong', 'huh', 'uh', 'okay', 'ok', 'right', 'alright', 'oh', 'sure', 'really', 'no', 'nope'"
+
 LOG = "(select distinct on (log_id) * from system_features_full)"
 AGENT = "(select distinct on (turn_id) * from validated_agent_transcript)"
 USER = "(select distinct on (utt_id) * from validated_user_transcript)"

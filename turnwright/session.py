@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import atexit
-import gc
 import os
 import tempfile
 import uuid
@@ -76,36 +75,6 @@ def stage(df: DataFrame, name: str, partition_by: list[str] | None = None) -> Da
     return spark.read.schema(df.schema).parquet(path) if not partition_by else spark.read.parquet(path)
 
 
-def stage_bucketed(df: DataFrame, name: str, by: str) -> DataFrame:
-    """stage(), bucketed by a column that df is joined on again and again: no join then moves this side. df should lie in as many
-    partitions by that column as there are shuffle partitions; then each bucket is one file."""
-    spark = df.sparkSession
-    table = f"{name}_{uuid.uuid4().hex}".replace("-", "_")
-    path = f"{shared_folder(spark)}/{table}"
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    df.write.format("parquet").option("compression", "zstd").option("path", path).bucketBy(n, by).saveAsTable(table)
-    _made.append((spark, path))
-    return spark.table(table)
-
-
-def stage_bucketed(df: DataFrame, name: str, by: str) -> DataFrame:
-    """stage(), bucketed by a column that df is joined on again and again: no join then moves this side. df should lie in as many
-    partitions by that column as there are shuffle partitions; then each bucket is one file."""
-    spark = df.sparkSession
-    table = f"{name}_{uuid.uuid4().hex}".replace("-", "_")
-    path = f"{shared_folder(spark)}/{table}"
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    df.write.format("parquet").option("compression", "zstd").option("path", path).bucketBy(n, by).saveAsTable(table)
-    _made.append((spark, path))
-    return spark.table(table)
-
-
-def release(spark: SparkSession) -> None:
-    """Let Spark remove shuffle files that no frame refers to any more; it does so only when the driver's garbage is collected."""
-    gc.collect()
-    spark._jvm.System.gc()
-
-
 def drop_stage(df: DataFrame) -> None:
     """Remove the files of a stage that is no longer read (rounds of an iteration)."""
     spark = df.sparkSession
