@@ -3,7 +3,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from turnwright.llm.turns import resolve, spoken, turns
+from turnwright.llm.turns import resolve, spoken, turn_texts, turns
 
 CASES = [
     ("user", "hm right now", "user", "right now"),
@@ -45,6 +45,12 @@ def test_variants_of_a_label():
     assert got == {"user": "user", "usr": "user", "u": "user", "caler": "user", "callr": "user", "agnt": "agent", "bystandr": "other", "background noise": "other", "tp": "other"}
 
 
+def test_unknown_labels_that_resemble_each_other_share_a_role():
+    got = resolve(["bystander", "bystanderrr", "bystanderrrrrr", "zebrafinch", "zebrafinche"])
+    assert got == {"bystander": "other", "bystanderrr": "other", "bystanderrrrrr": "other"}
+    assert resolve(["passengerrr", "passengerrrrrr"]) == {"passengerrr": "user", "passengerrrrrr": "user"}
+
+
 def brute(rows, pause=1500):
     out, by = [], {}
     for call, k, s, t, role, text in {(r[0], r[1]): r for r in rows}.values():
@@ -72,6 +78,11 @@ def test_turns_against_brute_force(spark, seed):
         rows.append((rng.choice(["a", "b", None]), k, rng.choice([s, s, s, None]), s + rng.choice([-5, 0, 400, 2000, 1_300_000 if k % 50 == 0 else 900]), rng.choice(["user", "user", "agent"]), rng.choice(["x", "x", None])))
     rows += rows[:40]
     d = spark.createDataFrame(rows, "call string, k bigint, s bigint, t bigint, speaker_role string, speech string")
+    cut = turns(d, "call", "k", "s", "t", block_rows=20)
+    assert sorted(map(tuple, cut.select("call_id", "speaker_role", "start_ms", "end_ms").collect())) == brute(rows)
+    parts = turn_texts(d, "call", "k", "s", "t", part_rows=3, block_rows=50).collect()
+    assert sorted((r.call_id, r.speaker_role, r.start_ms, r.end_ms) for r in parts if r.part_no == 1) == brute(rows)
+    assert sum(r.text.count("x") for r in parts) == sum(r.n_rows for r in parts if r.part_no == 1) and max(r.text.count("x") for r in parts) == 3
     got = turns(d, "call", "k", "s", "t")
     assert sorted(map(tuple, got.select("call_id", "speaker_role", "start_ms", "end_ms").collect())) == brute(rows)
     assert got.agg(F.sum("n_rows")).first()[0] == len({(r[0], r[1]) for r in rows if r[0] and r[2] is not None and r[3] > r[2] and r[5]})

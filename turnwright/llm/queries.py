@@ -11,7 +11,7 @@ from turnwright.llm.packing import pack
 from turnwright.llm.pieces import split_texts
 from turnwright.llm.splits import components, stratify
 from turnwright.llm.tokens import count_tokens, encode_column
-from turnwright.llm.turns import spoken, turns
+from turnwright.llm.turns import spoken, turn_texts, turns
 from turnwright.operators.skew import salted_join
 from turnwright.session import stage
 
@@ -99,18 +99,18 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return rows.where("call_id is not null").select("call_id", "component").distinct().join(torn, "component").select("call_id").distinct()
 
 
-def _turns(spark: SparkSession, d: str) -> DataFrame:
+def _spoken(spark: SparkSession, d: str) -> DataFrame:
     t = table(spark, d, "validated_user_transcript")
     t = t.select("utt_id", call_id(F.col("CallID")).alias("call"), "Speaker", millis(F.col("StartTime")).alias("s"), millis(F.col("EndTime")).alias("t"), "Transcript").where("call is not null and t > s")
-    return turns(spoken(t, "call", "Speaker", "Transcript"), "call", "utt_id", "s", "t")
+    return spoken(t, "call", "Speaker", "Transcript")
 
 
 def p7_turns(spark: SparkSession, d: str) -> DataFrame:
-    return _turns(spark, d)
+    return turn_texts(_spoken(spark, d), "call", "utt_id", "s", "t")
 
 
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
-    return _turns(spark, d).select("call_id", "speaker_role", "start_ms", "end_ms")
+    return turns(_spoken(spark, d), "call", "utt_id", "s", "t").select("call_id", "speaker_role", "start_ms", "end_ms")
 
 
 def p8_ids(spark: SparkSession, d: str) -> DataFrame:

@@ -8,9 +8,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
-from turnwright.functions.ids import present
-from turnwright.operators.ordered import running
+from turnwright.functions.ids import MISSING, present
+from turnwright.operators.ordered import BLOCK_ROWS, blocked, position, running
 from turnwright.operators.skew import salted_join
 from turnwright.session import stage
 
@@ -29,19 +30,25 @@ ANNOTATION = r"(?:\(\([^)]*\)\)|\[[^\]]*\]|\([^)]*\)|<[^>]*>|\*[^*]*\*|\{[^}]*\}
 #: A label that opens a text: [user], User: or User> or user - before the speech.
 LABEL = r"(?iU)^[\s\p{Punct}&&[^\[]]*(?:\[\s*([a-z][a-z ]{0,30}(?:_?\d+)?)\s*\]|([a-z][a-z ]{0,30}(?:_?\d+)?)\s*[:>](?!\d)|([a-z][a-z ]{1,30}(?:_?\d+)?)\s+-\s)"
 NOTHING = ("nan", "none", "null", "na", "n/a")
-BLOCK_MS = 600_000
+#: Rows whose speech is put together in one text; a longer turn has several.
+PART_ROWS = 10_000
 
 
 def label_key(c: Column) -> Column:
     """A label in lower case without digits, punctuation and outer blanks; null where none is left or it stands for a missing one."""
-    k = F.regexp_replace(F.lower(present(c)), r"(?U)[^\p{L}]+", " ")
-    k = F.trim(k)
-    return F.when(k != "", k)
+    k = F.trim(F.regexp_replace(F.lower(present(c)), r"(?U)[^\p{L}]+", " "))
+    return F.when(c.rlike("^[a-z]+$") & ~c.isin(*MISSING), c).otherwise(_where(k, lambda x: x != ""))
+
+
+def _where(v: Column, test) -> Column:
+    """v where the test holds, else null, with v computed only once."""
+    return F.get(F.filter(F.array(v), test), F.lit(0))
 
 
 def without_stamps(c: Column) -> Column:
-    t = F.regexp_replace(c, r"(?U)[\s ​﻿]+", " ")
-    return F.trim(F.regexp_replace(t, r"(?i)" + STAMP, " "))
+    """The text with single plain blanks and without time stamps."""
+    t = F.when(c.rlike("[^!-~ ]|  "), F.regexp_replace(c, r"(?U)[\s ​﻿]+", " ")).otherwise(c)
+    return F.trim(F.when(c.rlike("[0-9]"), F.regexp_replace(t, r"(?i)" + STAMP, " ")).otherwise(t))
 
 
 def opening_label(stripped: Column) -> Column:
@@ -49,30 +56,34 @@ def opening_label(stripped: Column) -> Column:
     found = label_key(F.concat(F.regexp_extract(stripped, LABEL, 1), F.regexp_extract(stripped, LABEL, 2), F.regexp_extract(stripped, LABEL, 3)))
     words = "|".join(w for ws in ANCHORS.values() for w in ws)
     sure = rf"^(?:{words}|[a-z]|(?!{HESITATION}$)[^aeiou\s]{{2,4}})$"
-    return F.get(F.filter(F.array(found), lambda x: x.rlike(sure)), F.lit(0))
+    return F.when(stripped.rlike(r"[\[:>]| - "), _where(found, lambda x: x.rlike(sure)))  # no label does without one of these marks
 
 
 def clean_speech(stripped: Column, labelled: Column) -> Column:
     """The speech of a text freed from stamps, without its label (if labelled), annotations and hesitations; null where no word is left."""
+    sound = r"(?iU)(?<![\p{L}\p{N}'])" + HESITATION + r"(?![\p{L}\p{N}'])(?:\s*[,.…]+)?"
     t = F.when(labelled, F.regexp_replace(stripped, LABEL, " ")).otherwise(stripped)
-    t = F.regexp_replace(t, ANNOTATION, " ")
-    t = F.regexp_replace(t, r"(?iU)(?<![\p{L}\p{N}'])" + HESITATION + r"(?![\p{L}\p{N}'])(?:\s*[,.…]+)?", " ")
+    t = F.regexp_replace(F.regexp_replace(t, ANNOTATION, " "), sound, " ")
     t = F.trim(F.regexp_replace(F.regexp_replace(t, r"\s+([,.?!…])", "$1"), r"\s+", " "))
     t = F.regexp_replace(t, r"^[\s,.?!…:;-]+", "")
     t = F.regexp_replace(t, r"([,.?!…])[,.…]+$", "$1")
-    said = F.get(F.filter(F.array(t), lambda x: x.rlike(r"[\p{L}\p{N}]") & ~F.lower(F.regexp_replace(x, r"[^A-Za-z/]", "")).isin(*NOTHING)), F.lit(0))
-    return said
+    # a text of letters, digits and blanks has no label, annotation or punctuation: only hesitations and the blanks they leave
+    plain = F.trim(F.regexp_replace(F.regexp_replace(stripped, sound, " "), r"\s+", " "))
+    plain = F.when(stripped.rlike(sound), plain).otherwise(stripped)
+    t = F.when(labelled | stripped.rlike("[^A-Za-z0-9' ]|  "), t).otherwise(plain)
+    return _where(t, lambda x: x.rlike(r"[\p{L}\p{N}]") & ~F.lower(F.regexp_replace(x, r"[^A-Za-z/]", "")).isin(*NOTHING))
 
 
 def resolve(labels: list[str]) -> dict[str, str]:
     """The role of each label of one transcript; labels that lead to no known word are left out.
 
     Labels and role words are the nodes of a union-find. A label is joined to the word that it equals, abbreviates (initials, prefix, or letters
-    left out) or resembles most, and labels that resemble each other are joined; a set takes the role of its words.
+    left out) or resembles most; then labels that begin alike and resemble each other are joined, known or not, unless that would join two roles.
+    A set takes the role of its words.
     """
     words = [w for ws in ANCHORS.values() for w in ws]
-    role = {w: r for r, ws in ANCHORS.items() for w in ws}
-    parent: dict[str, str] = {}
+    parent = {f"W:{w}": f"W:{w}" for w in words}
+    role = {f"W:{w}": r for r, ws in ANCHORS.items() for w in ws}  # of the top of each set that has a word
 
     def top(x: str) -> str:
         parent.setdefault(x, x)
@@ -81,23 +92,25 @@ def resolve(labels: list[str]) -> dict[str, str]:
             x = parent[x]
         return x
 
-    loose: dict[str, list[str]] = {}
+    def join(x: str, y: str) -> None:
+        a, b = top(x), top(y)
+        if a != b and not (a in role and b in role and role[a] != role[b]):
+            parent[a] = b
+            if a in role:
+                role[b] = role[a]
+
+    begin: dict[str, list[str]] = {}
     for a in sorted(set(labels)):
         best = max(words, key=lambda w: (likeness(a, w), -words.index(w)))
         if likeness(a, best) >= 0.75:
-            parent[top("L:" + a)] = top("W:" + best)
-        else:
-            loose.setdefault(a[:2], []).append(a)
-    known = {x[2:] for x in parent if x.startswith("L:")}
-    for start, group in loose.items():
-        near = [x for x in known if x.startswith(start)]
-        for a in group:
-            for b in near:
-                if likeness(a, b) >= 0.85:
-                    parent[top("L:" + a)] = top("L:" + b)
-                    break
-    said = {top("W:" + w): role[w] for w in words}
-    return {a: said[top("L:" + a)] for a in set(labels) if top("L:" + a) in said}
+            join("L:" + a, "W:" + best)
+        begin.setdefault(a[:2], []).append(a)
+    for alike in begin.values():
+        for i, a in enumerate(alike):
+            for b in alike[:i]:
+                if top("L:" + a) != top("L:" + b) and likeness(a, b) >= 0.85:
+                    join("L:" + a, "L:" + b)
+    return {a: role[top("L:" + a)] for a in set(labels) if top("L:" + a) in role}
 
 
 def likeness(a: str, word: str) -> float:
@@ -138,40 +151,55 @@ def _resolve(sets: pd.Series) -> pd.Series:
 
 
 def spoken(df: DataFrame, call: str, speaker: str, text: str) -> DataFrame:
-    """df plus speaker_role and speech. Names beginning with an underscore are reserved."""
+    """df plus speaker_role and speech. Texts and labels are read once and staged. Names beginning with an underscore are reserved."""
     d = df.withColumn("_text", without_stamps(F.col(text)))
     d = d.withColumn("_speaker", label_key(F.col(speaker))).withColumn("_opens", opening_label(F.col("_text")))
-    found = F.explode(F.array_compact(F.array("_speaker", "_opens")))
-    sets = d.where(F.col(call).isNotNull()).select(F.col(call).alias("_call"), found.alias("_l")).distinct().groupBy("_call").agg(F.collect_list("_l").alias("_ls"))
-    roles = sets.select("_call", _resolve("_ls").alias("_roles"))
-    d = salted_join(d.withColumn("_call", F.col(call)), roles, "_call", "left")
-    opens = F.element_at("_roles", F.col("_opens"))
+    d = stage(d.withColumn("_call", F.col(call)).withColumn("_there", present(F.col(text)).isNotNull()), "p7-labels")
+    found = d.where("_call is not null").select("_call", "_speaker", "_opens").distinct().select("_call", F.explode(F.array_compact(F.array("_speaker", "_opens"))).alias("_l"))
+    roles = found.distinct().groupBy("_call").agg(F.collect_list("_l").alias("_ls")).select("_call", _resolve("_ls").alias("_roles"))
+    d = salted_join(d, roles, "_call", "left")
     named = F.when(F.col("_speaker").isNotNull(), F.coalesce(F.element_at("_roles", F.col("_speaker")), F.lit("other")))
-    d = d.withColumn("_by_text", opens).withColumn("speaker_role", F.coalesce(named, "_by_text", F.lit("user")))
-    said = F.when(present(F.col(text)).isNotNull(), clean_speech(F.col("_text"), F.col("_by_text").isNotNull()))
-    return d.withColumn("speech", said).drop("_text", "_speaker", "_opens", "_call", "_roles", "_by_text")
+    d = d.withColumn("_by_text", F.element_at("_roles", F.col("_opens"))).withColumn("speaker_role", F.coalesce(named, "_by_text", F.lit("user")))
+    said = F.when(F.col("_there"), clean_speech(F.col("_text"), F.col("_by_text").isNotNull()))
+    return d.withColumn("speech", said).drop("_text", "_speaker", "_opens", "_call", "_there", "_roles", "_by_text")
 
 
-def turns(df: DataFrame, call: str, key: str, start_ms: str, end_ms: str, pause_ms: int = 1500) -> DataFrame:
-    """Turns (call_id, speaker_role, start_ms, end_ms, n_rows, text) from rows with speaker_role and speech, in order of start, end and key.
+def turn_rows(df: DataFrame, call: str, key: str, start_ms: str, end_ms: str, pause_ms: int = 1500, block_rows: int = BLOCK_ROWS) -> tuple[DataFrame, str | None]:
+    """Rows (call_id, k, s, t, speaker_role, speech, turn) of df, which has speaker_role and speech, and their column of blocks, if any.
 
-    A turn goes on while the role is the same and a row starts at most pause_ms after the latest end within the turn. Rows without a call, a
-    usable interval or speech are left out; rows with the same key count once (a missing key: the row itself). Blocks of time are ordered
-    apart and what they pass on is carried, so a hot call isn't in one task.
+    turn is the row (s, t, k) that begins the turn. A turn goes on while the role is the same and a row starts at most pause_ms after the latest
+    end within the turn, in order of start, end and key. Rows without a call, a usable interval or speech are left out; rows with the same key
+    count once (a missing key: the row itself). A call with more than block_rows rows is ordered in blocks with carried values.
     """
     d = df.select(F.col(call).alias("call_id"), F.coalesce(F.col(key).cast("bigint"), F.xxhash64(start_ms, end_ms, "speech")).alias("k"), F.col(start_ms).cast("bigint").alias("s"), F.col(end_ms).cast("bigint").alias("t"), "speaker_role", "speech")
     d = d.where("call_id is not null and s is not null and t > s and speech is not null").dropDuplicates(["call_id", "k"])
-    d = stage(d.withColumn("b", F.floor(F.col("s") / BLOCK_MS)), "p7-rows")
     order = ["s", "t", "k"]
     row = F.struct("s", "t", "k")
-    x = running(d.drop("speech"), ["call_id"], "b", order, F.col("speaker_role"), "last", "before")
+    x, b = blocked(d, ["call_id"], order, "p7-rows", block_rows)
+    x = running(x, ["call_id"], b, order, F.col("speaker_role"), "last", "before")
     x = x.withColumn("change", F.when(F.col("before").isNull() | (F.col("before") != F.col("speaker_role")), row)).drop("before")
-    x = stage(running(x, ["call_id"], "b", order, F.col("change"), "last", "run", inclusive=True).drop("change"), "p7-runs")
-    # within a run of one role a row that starts a new turn does so after all earlier ends, so the latest end of the run is that of the turn
-    x = running(x, ["call_id", "run"], "b", order, F.col("t"), "max", "until")
-    x = x.withColumn("change", F.when(F.col("until").isNull() | (F.col("s") > F.col("until") + pause_ms), row)).drop("until")
-    x = running(x, ["call_id", "run"], "b", order, F.col("change"), "last", "turn", inclusive=True)
-    x = x.select("call_id", "k", "turn").join(d, ["call_id", "k"])
-    rows = F.array_sort(F.collect_list(F.struct("s", "t", "k", "speech")))
-    out = x.groupBy("call_id", "turn", "speaker_role").agg(F.min("s").alias("start_ms"), F.max("t").alias("end_ms"), F.count(F.lit(1)).alias("n_rows"), F.array_join(F.transform(rows, lambda r: r["speech"]), " ").alias("text"))
-    return out.drop("turn")
+    x = running(x, ["call_id"], b, order, F.col("change"), "last", "run", inclusive=True).drop("change")
+    # within a run of one role a row that starts a new turn does so after all earlier ends, so the latest end of the run is that of the turn;
+    # runs rise along the order, so the largest pair of run and end is the latest end of the run at hand
+    x = running(x, ["call_id"], b, order, F.struct("run", "t"), "max", "until")
+    x = x.withColumn("change", F.when(F.col("until").isNull() | (F.col("until.run") != F.col("run")) | (F.col("s") > F.col("until.t") + pause_ms), row)).drop("until")
+    return running(x, ["call_id"], b, order, F.col("change"), "last", "turn", inclusive=True).drop("change", "run"), b
+
+
+def turns(df: DataFrame, call: str, key: str, start_ms: str, end_ms: str, **options) -> DataFrame:
+    """Turns (call_id, speaker_role, start_ms, end_ms, n_rows); see turn_rows for what counts."""
+    rows, _ = turn_rows(df, call, key, start_ms, end_ms, **options)
+    return rows.groupBy("call_id", "turn", "speaker_role").agg(F.min("s").alias("start_ms"), F.max("t").alias("end_ms"), F.count(F.lit(1)).alias("n_rows")).drop("turn")
+
+
+def turn_texts(df: DataFrame, call: str, key: str, start_ms: str, end_ms: str, part_rows: int = PART_ROWS, **options) -> DataFrame:
+    """turns() plus part_no and text: the speech of a turn in order, in parts of at most part_rows rows, so that no text grows with its call."""
+    rows, b = turn_rows(df, call, key, start_ms, end_ms, **options)
+    order = ["s", "t", "k"]
+    rows = position(rows, ["call_id"], b, order, "at")
+    rows = running(rows, ["call_id"], b, order, F.when(F.struct(*order) == F.col("turn"), F.col("at")), "last", "began", inclusive=True)
+    rows = rows.withColumn("part_no", (F.floor((F.col("at") - F.col("began")) / part_rows) + 1).cast("int"))
+    said = F.array_sort(F.collect_list(F.struct("at", "speech")))
+    parts = rows.groupBy("call_id", "turn", "speaker_role", "part_no").agg(F.min("s").alias("s"), F.max("t").alias("t"), F.count(F.lit(1)).alias("n"), F.array_join(F.transform(said, lambda r: r["speech"]), " ").alias("text"))
+    w = Window.partitionBy("call_id", "turn")
+    return parts.select("call_id", "speaker_role", F.min("s").over(w).alias("start_ms"), F.max("t").over(w).alias("end_ms"), F.sum("n").over(w).alias("n_rows"), "part_no", "text")
