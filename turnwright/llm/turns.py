@@ -56,7 +56,7 @@ def opening_label(stripped: Column) -> Column:
     found = label_key(F.concat(F.regexp_extract(stripped, LABEL, 1), F.regexp_extract(stripped, LABEL, 2), F.regexp_extract(stripped, LABEL, 3)))
     words = "|".join(w for ws in ANCHORS.values() for w in ws)
     sure = rf"^(?:{words}|[a-z]|(?!{HESITATION}$)[^aeiou\s]{{2,4}})$"
-    return F.when(stripped.rlike(r"[\[:>]| - "), _where(found, lambda x: x.rlike(sure)))  # no label does without one of these marks
+    return F.when(stripped.rlike(r"[\[:>]| - ") & stripped.rlike(LABEL), _where(found, lambda x: x.rlike(sure)))  # none does without these marks
 
 
 def clean_speech(stripped: Column, labelled: Column) -> Column:
@@ -71,7 +71,8 @@ def clean_speech(stripped: Column, labelled: Column) -> Column:
     plain = F.trim(F.regexp_replace(F.regexp_replace(stripped, sound, " "), r"\s+", " "))
     plain = F.when(stripped.rlike(sound), plain).otherwise(stripped)
     t = F.when(labelled | stripped.rlike("[^A-Za-z0-9' ]|  "), t).otherwise(plain)
-    return _where(t, lambda x: x.rlike(r"[\p{L}\p{N}]") & ~F.lower(F.regexp_replace(x, r"[^A-Za-z/]", "")).isin(*NOTHING))
+    stand_in = lambda x: ~x.rlike("[A-Za-z]{5}") & F.lower(F.regexp_replace(x, r"[^A-Za-z/]", "")).isin(*NOTHING)
+    return _where(t, lambda x: x.rlike(r"[\p{L}\p{N}]") & ~stand_in(x))
 
 
 def resolve(labels: list[str]) -> dict[str, str]:
@@ -154,7 +155,8 @@ def spoken(df: DataFrame, call: str, speaker: str, text: str) -> DataFrame:
     """df plus speaker_role and speech. Texts and labels are read once and staged. Names beginning with an underscore are reserved."""
     d = df.withColumn("_text", without_stamps(F.col(text)))
     d = d.withColumn("_speaker", label_key(F.col(speaker))).withColumn("_opens", opening_label(F.col("_text")))
-    d = stage(d.withColumn("_call", F.col(call)).withColumn("_there", present(F.col(text)).isNotNull()), "p7-labels")
+    there = F.col(text).rlike("[!-~] [!-~]") | present(F.col(text)).isNotNull()  # no stand-in has two words
+    d = stage(d.withColumn("_call", F.col(call)).withColumn("_there", there), "p7-labels")
     found = d.where("_call is not null").select("_call", "_speaker", "_opens").distinct().select("_call", F.explode(F.array_compact(F.array("_speaker", "_opens"))).alias("_l"))
     roles = found.distinct().groupBy("_call").agg(F.collect_list("_l").alias("_ls")).select("_call", _resolve("_ls").alias("_roles"))
     d = salted_join(d, roles, "_call", "left")
