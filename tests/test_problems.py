@@ -6,7 +6,9 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from turnwright.functions.ids import call_id, seconds
 from turnwright.functions.parses import identify, read
+from turnwright.operators import propagation
 from turnwright.operators.intervals import periods_and_gaps
 from turnwright.operators.nested import NestedTables
 from turnwright.operators.propagation import apply_fills, propagate
@@ -47,19 +49,50 @@ def test_fills_come_from_neighbours(spark):
     assert {r.log_id for r in whole.where("call_filled").collect()} == {4, 5, 6, 9}
 
 
+def test_fills_do_not_depend_on_the_spacing_of_keys(spark):
+    rows = [list(log_row(k, "AB"[k > 30], 0 if k <= 30 else 2000, k % 31 + 1)) for k in range(1, 61)]
+    for k in (5, 6, 7, 8, 9, 10, 11, 12, 31, 44, 60):
+        rows[k - 1][2 if k % 2 else 3] = None
+    far = [[r[0] ** 2 * 1000, *r[1:]] for r in rows]
+    near = {(r.log_id, r.field_name): r for r in fills_of(spark, rows)[1].collect()}
+    got = {(r.log_id, r.field_name): r for r in fills_of(spark, far)[1].collect()}
+    assert len(near) == 11 and {r.source for r in near.values()} == {"neighbours"}
+    assert {(k * k * 1000, f): (r.text_value, r.number_value) for (k, f), r in near.items()} == {k: (r.text_value, r.number_value) for k, r in got.items()}
+
+
 def test_fills_without_neighbours(spark):
-    far = [log_row(1, "A", 0, 1), log_row(1000, None, 50, 1, dd=False), log_row(5000, "A", 100_000, 2, dd=False, when=False), log_row(None, None, 0, 1)]
+    far = [log_row(1, "A", 0, 1), log_row(1000, None, 50, 1, dd=False), log_row(5000, "B", 60, 2, dd=False), log_row(6000, "C", 100_000, 2, dd=False, when=False), log_row(None, None, 0, 1)]
     _, f = fills_of(spark, far)
     got = {(r.log_id, r.field_name): r for r in f.collect()}
-    assert got[1000, "call"].text_value == "A" and got[1000, "call"].source == "time"
-    assert got[1000, "dd"].number_value == 10.0 and got[5000, "dd"].number_value == 10.0
-    assert len(got) == 3  # a row without a key can't be named
+    assert got[1000, "call"].text_value in "AB" and got[1000, "call"].source == "neighbours"
+    assert got[5000, "dd"].number_value == 10.0 and got[5000, "dd"].source == "time"
+    assert got[6000, "dd"].number_value == 10.0 and got[6000, "dd"].source == "all"
+    assert len(got) == 4  # a row without a key can't be named
     _, f = fills_of(spark, [log_row(1, None, 0, 1, dd=False), log_row(2, None, 0, 2, dd=False)])
     assert {r.source for r in f.collect()} == {"none"}
     _, f = fills_of(spark, [])
     assert f.count() == 0
 
 
+def test_long_runs_and_blocks(spark, monkeypatch):
+    monkeypatch.setattr(propagation, "BLOCK", 8)
+    rows = [list(log_row(k, "A", 0, k)) for k in range(1, 41)]
+    for k in range(10, 31):  # longer than two blocks
+        rows[k - 1][2] = rows[k - 1][3] = None
+    got = {(r.log_id, r.field_name): r for r in fills_of(spark, rows)[1].collect()}
+    assert len(got) == 42 and all(got[k, "call"].text_value == "A" and abs(got[k, "dd"].number_value - 10 * k) < 1 for k in range(10, 31))
+
+
+def test_held_out_values_come_back(spark):
+    t = spark.read.parquet("/root/testdata/sf0.01/system_features_full.parquet").dropDuplicates(["log_id"])
+    t = t.select("log_id", "logged_at", "exchange_no", call_id(F.col("CallID")).alias("c"), seconds(F.col("DD")).alias("x"))
+    hidden = t.select("log_id", "logged_at", "exchange_no", F.when(F.col("log_id") % 17 != 0, F.col("c")).alias("call"), F.when(F.col("log_id") % 19 != 0, F.col("x")).alias("dd"))
+    f = propagate(hidden, "log_id", "logged_at", "call", "dd", "exchange_no").join(t, "log_id")
+    right = f.where("field_name = 'call' and c is not null").agg(F.avg((F.col("text_value") == F.col("c")).cast("int"))).first()[0]
+    near = f.where("field_name = 'dd' and x is not null").agg(F.avg((F.abs(F.col("number_value") - F.col("x")) < 2).cast("int"))).first()[0]
+    assert right > 0.98 and near > 0.98
+
+
 def tree(text):
     return [(i + 1, n.parent + 1, n.name) for i, n in enumerate(read(text))]
 
@@ -89,6 +122,13 @@ def test_reading_parses(text, nodes):
     assert tree(text) == nodes
 
 
+@pytest.mark.parametrize("text", ['{"slot":"a","sub":' * 50_000 + "null" + "}" * 50_000, '[{"slot":"a","sub":' * 20_000 + "[]" + "}]" * 20_000, "a (" * 50_000])
+def test_no_depth_is_too_deep(text):
+    nodes = read(text)
+    assert len(nodes) in (20_000, 50_000) and identify(nodes)[1][0] == len(nodes)
+    assert identify(read('{"slot":"a","value":' + "[" * 20_000 + "]" * 20_000 + "}"))[1] == [1]
+
+
 def test_equal_objects_have_one_identity():
     a, b = read("p[1] (q[2] r) s (p[1] (q[2] r))"), read('[{"slot":"p","value":"1","sub":[{"slot":"q","value":"2"},{"slot":"r"}]}]')
     ia, ib = identify(a)[0], identify(b)[0]
@@ -97,7 +137,7 @@ def test_equal_objects_have_one_identity():
 
 
 def test_tables_give_back_the_texts(spark):
-    texts = ["a[1](b c(d))", "a[1](b c(d))", "z (a[1](b c(d)))", None, "", "b", " ".join("n (" for _ in range(40)), "x " * 3000]
+    texts = ["a[1](b c(d))", "a[1](b c(d))", "z (a[1](b c(d)))", None, "", "b", " ".join("n (" for _ in range(40)), "x " * 3000, " ".join(f"d{i} (e" for i in range(200)), "a (b " * 64 + "c"]
     rows = [(i, t, "clash") for i, t in enumerate(texts)] + [(0, texts[0], "clash"), (None, "a", "q")]
     t = NestedTables(spark.createDataFrame(rows, "k bigint, p string, hash string"), "k", "p")
     want = sorted((i, *n) for i, x in enumerate(texts) for n in tree(x))

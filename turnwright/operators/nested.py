@@ -61,7 +61,7 @@ def _objects(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     rows.append((None, whole, None, None, None, 1 + max(height[i] for i in roots), 0))
                     ends.append(len(children))
                     for i, x in enumerate(nodes):
-                        at = ids[i], (depth[i] - 1) % LEVELS + 1
+                        at = ids[i], (depth[i] - 1) % LEVELS + 1 if x.kids else 1  # leaves aren't looked up: one level does
                         if at not in seen:
                             seen.add(at)
                             v = x.value if x.value is None or isinstance(x.value, str) else dumps(x.value)
