@@ -36,25 +36,25 @@ def ranked(df: DataFrame, key: str, time: str, group: str, number: str, ordinal:
     return d.join(F.broadcast(sizes), "_p").withColumn("r", F.col("_before") + F.col("_m") - F.shiftleft("_p", 33)).select("i", "ts", "g", "x", "o", "r")
 
 
-def neighbourhoods(df: DataFrame, key: str, time: str, group: str, number: str, ordinal: str, each_side: int = 3) -> DataFrame:
-    """Nodes that lack their group or number: (i, ts, g, x, o, r, near) with near the observed state of their neighbours, each once.
+def neighbourhoods(d: DataFrame, each_side: int = 3) -> DataFrame:
+    """Of ranked rows the nodes that lack their group or number: (i, ts, g, x, o, r, near) with near the observed state of their neighbours, each once.
 
     Blocks of ranks overlap by each_side, so a block holds all neighbours by rank of its own rows. The nearest rows with a group, and of the same
     group with a number, are sought within the block; what lies beyond is reached over several edges.
     """
-    d = ranked(df, key, time, group, number, ordinal)
     own, at = F.floor(F.col("r") / BLOCK), F.pmod(F.col("r"), F.lit(BLOCK))
     blocks = F.array_compact(F.array(own, F.when(at < each_side, own - 1), F.when(at >= BLOCK - each_side, own + 1)))
     d = d.withColumn("b", F.explode(blocks)).repartition("b")
     w = Window.partitionBy("b").orderBy("r")
-    before, behind = lambda w: w.rowsBetween(Window.unboundedPreceding, -1), lambda w: w.rowsBetween(1, Window.unboundedFollowing)
+    # a frame up to the end of the block would be summed up anew for each row, one from its beginning isn't: behind is before in falling order
+    before = lambda by, *part: Window.partitionBy("b", *part).orderBy(by).rowsBetween(Window.unboundedPreceding, -1)
+    asc, desc = F.asc("r"), F.desc("r")
     node = F.struct(F.col("i").alias("j"), "ts", "g", "x", "o", "r")
     near = {f"_{f.__name__}{k}": f(node, k).over(w) for k in range(1, each_side + 1) for f in (F.lag, F.lead)}
     known, same = F.when(F.col("g").isNotNull(), node), F.when(F.col("g").isNotNull() & F.col("x").isNotNull(), node)
-    near |= {"_known_before": F.last(known, ignorenulls=True).over(before(w)), "_known_behind": F.first(known, ignorenulls=True).over(behind(w))}
+    near |= {"_known_before": F.last(known, ignorenulls=True).over(before(asc)), "_known_behind": F.last(known, ignorenulls=True).over(before(desc))}
     d = d.withColumns(near)
-    of_group = Window.partitionBy("b", "g").orderBy("r")
-    near_group = {"_same_before": F.last(same, ignorenulls=True).over(before(of_group)), "_same_behind": F.first(same, ignorenulls=True).over(behind(of_group))}
+    near_group = {"_same_before": F.last(same, ignorenulls=True).over(before(asc, "g")), "_same_behind": F.last(same, ignorenulls=True).over(before(desc, "g"))}
     d = d.withColumns(near_group).where((F.col("b") == own) & (F.col("g").isNull() | F.col("x").isNull()))
     return d.select("i", "ts", "g", "x", "o", "r", F.array_distinct(F.array_compact(F.array(*near, *near_group))).alias("near"))
 
@@ -72,11 +72,11 @@ def propagate(df: DataFrame, key: str, time: str, group: str, number: str, ordin
     table holds no value to take, 'none' with null values. Values that haven't settled after most_rounds are taken with a warning. Rows without a key can't be named in the result and are left out. Repeated keys
     count once. An empty table gives no fills.
     """
-    nodes = stage(neighbourhoods(df, key, time, group, number, ordinal), "p1-nodes")
+    base = ranked(df, key, time, group, number, ordinal)
+    nodes = stage(neighbourhoods(base), "p1-nodes")
     groups = stage(_categories(nodes, rounds, most_rounds), "p1-groups")
     numbers = stage(_numbers(nodes, groups, rounds, most_rounds), "p1-numbers")
     g_open, x_open = groups.where("g is null").limit(1).count(), numbers.where("x is null").limit(1).count()
-    base = df.select(F.col(time).cast("timestamp").alias("t"), F.col(group).cast("string").alias("g"), F.col(number).cast("double").alias("x"))
     if g_open:
         groups = _fall_back_groups(groups, base)
     else:
@@ -156,7 +156,7 @@ def _numbers(nodes: DataFrame, groups: DataFrame, rounds: int, most_rounds: int)
 
 def _fall_back_groups(groups: DataFrame, base: DataFrame) -> DataFrame:
     """The commonest category of the same hour, else of all rows."""
-    hour = F.floor(F.col("t").cast("double") / 3600)
+    hour = F.floor(F.col("ts") / 3600)
     n = base.where("g is not null").withColumn("hour", hour).groupBy("hour", "g").count()
     top = n.groupBy("hour").agg(F.max(F.struct("count", "g"))["g"].alias("g_hour"))
     whole = n.groupBy("g").agg(F.sum("count").alias("c")).agg(F.max(F.struct("c", "g"))["g"]).first()[0]  # one value
@@ -171,7 +171,7 @@ def _fall_back_numbers(numbers: DataFrame, groups: DataFrame, base: DataFrame) -
     d = numbers.join(g, F.col("i") == F.col("k"), "left").withColumn("g", F.coalesce("g", "h")).drop("h", "k").withColumn("hour", F.floor(F.col("ts") / 3600))
     seen = base.where("x is not null")
     by_group = seen.where("g is not null").groupBy("g").agg(F.avg("x").alias("x_group"))
-    by_hour = seen.groupBy(F.floor(F.col("t").cast("double") / 3600).alias("hour")).agg(F.avg("x").alias("x_hour"))
+    by_hour = seen.groupBy(F.floor(F.col("ts") / 3600).alias("hour")).agg(F.avg("x").alias("x_hour"))
     whole = seen.agg(F.avg("x")).first()[0]  # one value
     d = salted_join(stage(d, "p1-open"), by_group, "g", "left")
     d = d.join(by_hour, "hour", "left").withColumn("x_all", F.lit(whole).cast("double"))
