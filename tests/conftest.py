@@ -7,7 +7,6 @@ from turnwright.session import build_session
 def spark():
     s = build_session("tests", master="local[4]", cores=4)
     s.sparkContext.setLogLevel("ERROR")
-    s.conf.set("spark.sql.codegen.wholeStage", "false")  # tiny tables: compiling costs more than it saves
     s.conf.set("spark.sql.shuffle.partitions", "2")
     yield s
     s.stop()

@@ -28,7 +28,7 @@ def test_only_the_entry_and_its_own_tests_import_llm():
             assert not any(x.startswith("turnwright.llm") for x in names), p
 
 
-@pytest.mark.parametrize("name", ["clean_categories", "grouped_ffill", "exclusion_audit", "turn_taking", "class_report", "p5_found", "p6_found"])
+@pytest.mark.parametrize("name", sorted({**catalogue.SQL, **problems.SQL}))
 def test_query_equals_its_sql(spark, tiny, name):
     con = duckdb.connect()
     for p in pathlib.Path(tiny).iterdir():

@@ -1,3 +1,4 @@
+import json
 import random
 
 import duckdb
@@ -5,6 +6,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from turnwright.functions import text as X
+from turnwright.functions import words as W
 from turnwright.operators import align, cleaning, exchange, features, joins, metrics, partitions, signal, stats
 from turnwright.plans import catalogue
 from turnwright.sources import readers, writers
@@ -187,6 +190,66 @@ def test_segments_of_their_own_row_are_met_in_a_long_call(spark):
     assert got.where("first_seg = -prompt_id and n_segments = 1").count() == n
 
 
+def test_words_decide_below_the_full_score():
+    prompts, segments = ["going to umber mill"], ["zzz"] * 6 + ["going to amber hall now"]
+    words = lambda who: [[("zzz", "A", 0.0, 1.0)]] * 6 + [[(w, who, 10.0 + i, 10.5 + i) for i, w in enumerate(segments[6].split())]]
+    assert align.align_call(prompts, segments, [False] * 7, words("A"))[0][:3] == (0, 6, 1)
+    assert align.align_call(prompts, segments, [False] * 7, words("B")) == []
+    assert align.align_call(prompts, segments, [False] * 7)[0][:3] == (0, 6, 1)
+    near = align.align_call(["zzz"], segments, [False] * 7, words("B"))  # from the full score on all words count
+    assert near[0][:3] == (0, 0, 1) and near[0][3] >= align.FULL_SCORE
+
+
+def test_aligned_times_are_those_of_the_words(spark):
+    word = "struct<word: string, start: double, end: double, speaker: string>"
+    prompts = spark.createDataFrame([("c", 1, 0, "Leaving at 5"), ("c", 2, 1, "nothing like it")], "CallID string, id bigint, place bigint, text string")
+    seg = [("c", 10, 0, "leaving at five", False, 3.0, 9.0, [("leaving", 4.0, 4.5, "A"), ("at", 4.5, 5.0, "A"), ("five", 5.0, 6.0, "B")]), ("c", 11, 1, "hm", True, 9.0, 10.0, None)]
+    s = spark.createDataFrame(seg, f"CallID string, id bigint, place bigint, text string, is_user boolean, start double, `end` double, words array<{word}>")
+    got = {r.prompt_id: r for r in align.align_prompts(prompts, s).collect()}
+    assert (got[1].first_seg, got[1].StartTime, got[1].EndTime, got[1].Transcript) == (10, 4.0, 6.0, "leaving at five")
+    assert (got[2].first_seg, got[2].StartTime, got[2].Transcript) == (None, None, "nothing like it")
+    plain = {r.prompt_id: r for r in align.align_prompts(prompts, s.drop("words")).collect()}
+    assert (plain[1].StartTime, plain[1].EndTime) == (3.0, 9.0)
+
+
+def test_word_lists(spark):
+    w = "array<struct<word: string, start: double, end: double, speaker: string>>"
+    d = spark.createDataFrame([([("a", 0.0, 1.0, "x"), ("b", None, 2.0, "y"), ("c", 2.0, 3.0, "y")], [True, False]), ([], []), (None, None)], f"w {w}, taken array<boolean>")
+    r = d.select(W.words_text(W.of_speaker(F.col("w"), F.lit("y"))).alias("said"), W.main_speaker(F.col("w")).alias("who"), W.shifted_words(F.col("w"), F.lit(1.5)).alias("late"), W.flat_words(F.array(F.struct(F.col("w").alias("words")))).alias("flat"), W.none_taken(W.places(F.lit(1), F.lit(3)), F.col("taken")).alias("free"), W.places(F.lit(4), F.lit(0)).alias("none")).collect()
+    assert (r[0].said, r[0].who, [x.start for x in r[0].late], len(r[0].flat), r[0].free, r[0].none) == ("b c", "y", [1.5, None, 3.5], 3, True, [])
+    assert (r[1].said, r[1].who, r[1].flat, r[2].who, r[2].flat) == ("", None, [], None, [])
+
+
+def test_groups_of_features_are_scaled_and_reduced(spark):
+    rng = random.Random(5)
+    cols = ["CallID", "IQMedian", "Prompt_sbert_dim0", "Prompt_sbert_dim1", "wav2vec2_Emb0", "wav2vec2_Emb1", "NumPauses"]
+    raw = [(str(i % 3), i % 5 + 1, a := rng.gauss(0, 1), 2 * a + 1, rng.gauss(0, 1), rng.gauss(0, 1), float(i) if i else None) for i in range(40)]
+    d = spark.createDataFrame(raw, ", ".join(f"{c} {k}" for c, k in zip(cols, ["string", "int"] + ["double"] * 5, strict=True)))
+    a, b = features.scale_and_reduce(d, [d, d.limit(0)], {"systemf_text": 0.9, "speechf_wav": None})
+    assert a.columns == ["CallID", "IQMedian", "non_pca__NumPauses", "prompt_sbert__pca0", "speechf_wav2vec__pca0", "speechf_wav2vec__pca1"] == b.columns
+    r = a.agg(F.min("IQMedian"), F.avg("prompt_sbert__pca0"), F.var_pop("prompt_sbert__pca0"), F.count("non_pca__NumPauses")).first()
+    assert r[0] == 0 and abs(r[1]) < 1e-9 and abs(r[2] - 2) < 1e-6 and r[3] == 40
+
+
+def test_results_of_differing_headers(spark, tmp_path):
+    (tmp_path / "a" / "b").mkdir(parents=True)
+    (tmp_path / "a" / "x.csv").write_text("macro_f1,model_type\n0.5,lstm\n")
+    (tmp_path / "a" / "b" / "y.csv").write_text("model_type,epochs,macro_f1\nbert,3,0.75\nbert,nan?,0.25\n")
+    got = readers.read_kind(spark, "cv_results", str(tmp_path)).select("model_type", "epochs", "macro_f1")
+    assert rows(got) == sorted([("lstm", None, 0.5), ("bert", 3.0, 0.75), ("bert", None, 0.25)], key=repr)
+    assert rows(metrics.filtered(got, model_type="bert", epochs=None).select("macro_f1")) == [(0.25,), (0.75,)]
+
+
+def test_nested_counts_and_first_keys(spark):
+    texts = ["semantic no match", "a b", "route[61A]", "r[1] (s[2])", "(x)", "(x", "(x) y[1]", "a (b) (c", "a ) b", "q[x (y) z](w)", "", None]
+    d = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    r = {x.i: x for x in d.select("i", X.first_key(F.col("t")).alias("k"), X.semantic_counts(F.col("t")).alias("c")).collect()}
+    assert [r[i].k for i in range(len(texts))] == ["semantic_no_match", "a", "route", "r", "", "x", "y", "c", "a", "q", "", None]
+    want = [{"semantic_no_match": 1}, {"a": {"b": 1}}, {"route": {"61A": 1}}, {"r": {"s": {"2": 1}}}, {}, {"x": 1}, {"y": {"1": 1}}, {"c": 1}, {"a": {"b": 1}}, {"q": {"w": 1}}, {}]
+    assert [json.loads(r[i].c) for i in range(11)] == want and r[11].c is None
+    assert all((next(iter(n), "") == r[i].k) for i, n in enumerate(want))
+
+
 def test_vectors_are_taken_whole(spark, tmp_path):
     d = spark.createDataFrame([(1, [float(i) for i in range(70)]), (2, [3.0]), (3, [])], "vec_id bigint, embedding array<float>")
     d.write.parquet(str(tmp_path / "embeddings.parquet"))

@@ -169,6 +169,11 @@ def test_signed_counts(spark):
     assert [r.key for r in current_orphans(s).collect()] == ["B"]
     s = apply_deltas(s, spark.createDataFrame([("A", 0, -1), ("B", 0, 1)], "key string, d_ref bigint, d_exist bigint"))
     assert [(r.key, r.n_ref) for r in current_orphans(s).collect()] == [("A", 2)]
+    batches = [reference_deltas(refs, "k"), exist, reference_deltas(refs, "k", -1), reference_deltas(refs, "k")]
+    folded = None
+    for b in batches:  # a state kept from batch to batch is that of all batches at once
+        folded = apply_deltas(folded, b)
+    assert sorted(map(tuple, folded.collect())) == sorted(map(tuple, apply_deltas(None, *batches).collect()))
     s = apply_deltas(s, reference_deltas(refs, "k", -1))
     assert current_orphans(s).count() == 0
 

@@ -11,11 +11,13 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from turnwright.functions.text import matching_key, ratio, similarity
+from turnwright.functions.text import matching_key, ratio, similarity, spoken_form
 from turnwright.operators.ordered import blocked, running
 
 TOLERANCE_S, TEXT_RATIO = 0.5, 80.0
-WINDOW_RATIO, FULL_SCORE, MOST_SEGMENTS, NEAR = 60.0, 95.0, 5, 5
+WINDOW_RATIO, WORD_RATIO, FULL_SCORE, MOST_SEGMENTS, NEAR = 60.0, 60.0, 95.0, 5, 5
+#: A word of a segment: text, speaker, start, end.
+Word = tuple[str, str | None, float | None, float | None]
 
 
 def near_in_time(segments: DataFrame, users: DataFrame, tolerance: float = TOLERANCE_S) -> DataFrame:
@@ -93,8 +95,10 @@ EQUAL = 105.0
 class _Call:
     """What is left of a call's prompts and segments while its candidates are settled, best score first."""
 
-    def __init__(self, prompts: list[str], segments: list[str], is_user: list[bool]):
-        self.prompts, self.segments, self.is_user = prompts, segments, is_user
+    def __init__(self, prompts: list[str], segments: list[str], is_user: list[bool], words: list[list[Word]] | None = None):
+        self.prompts, self.segments, self.is_user, self.words = prompts, segments, is_user, words
+        self.speaker = speaker_of(words[0]) if words else None
+        self.checked: dict[tuple[str, int, int, bool], bool] = {}
         self.used, self.done, self.out = list(is_user), [False] * len(prompts), []
         self.queue: dict[str, list[int]] = defaultdict(list)  # prompts left of each text, the first one last
         for p in reversed(range(len(prompts))):
@@ -115,6 +119,16 @@ class _Call:
     def free(self, at: int, size: int) -> bool:
         return not any(self.used[at : at + size])
 
+    def holds(self, prompt: str, at: int, size: int, score: float) -> bool:
+        """True where the words that a window keeps at this score still resemble the prompt; without word lists the text has been compared already."""
+        if not self.words or not any(self.words[at : at + size]):
+            return True
+        key = prompt, at, size, score >= FULL_SCORE
+        if key not in self.checked:
+            kept = kept_words(self.words[at : at + size], score, self.speaker)
+            self.checked[key] = ratio(prompt, said(kept)[1]) >= WORD_RATIO
+        return self.checked[key]
+
     def settle(self, score: float, near: dict[int, list[tuple[int, int]]], far: dict[str, list[tuple[int, list[int]]]]) -> None:
         """All candidates of one score, by prompt, length and place. near: prompt to windows; far: text to windows of each length and text.
 
@@ -125,12 +139,14 @@ class _Call:
         while heap:
             p, queued, t = heappop(heap)
             if not self.done[p]:
-                best = min((w for w in near.get(p, ()) if self.free(w[1], w[0])), default=None)
-                for size, places in far.get(self.prompts[p], ()):
+                text = self.prompts[p]
+                best = min((w for w in near.get(p, ()) if self.free(w[1], w[0]) and self.holds(text, w[1], w[0], score)), default=None)
+                for size, places in far.get(text, ()):
                     while places and not self.free(places[-1], size):
                         places.pop()  # what is taken stays taken
-                    if places and (best is None or (size, places[-1]) < best):
-                        best = size, places[-1]
+                    first = next((at for at in reversed(places) if self.free(at, size) and self.holds(text, at, size, score)), None)
+                    if first is not None and (best is None or (size, first) < best):
+                        best = size, first
                 if best is not None:
                     size, at = best
                     self.done[p] = True
@@ -143,14 +159,38 @@ class _Call:
                 heappush(heap, (self.queue[t].pop(), True, t))
 
 
-def align_call(prompts: list[str], segments: list[str], is_user: list[bool]) -> list[tuple[int, int, int, float]]:
+def speaker_of(words: list[Word]) -> str | None:
+    """The speaker of most words, of several the one who speaks first; None where no word names one."""
+    n: dict[str, int] = {}
+    for w in words:
+        if w[1]:
+            n[w[1]] = n.get(w[1], 0) + 1
+    return max(n, key=n.get) if n else None
+
+
+def kept_words(words: list[list[Word]], score: float, speaker: str | None) -> list[Word]:
+    """The words of a window that are the agent's: all from FULL_SCORE on or where no speaker is known, else those of the speaker."""
+    flat = [w for ws in words for w in ws]
+    return flat if score >= FULL_SCORE or speaker is None else [w for w in flat if w[1] == speaker]
+
+
+def said(words: list[Word]) -> tuple[str, str]:
+    """What words say, with numbers in words, and its matching key."""
+    _, text, key = spoken_form(" ".join(w[0] or "" for w in words).strip())
+    return text or "", key or ""
+
+
+def align_call(prompts: list[str], segments: list[str], is_user: list[bool], words: list[list[Word]] | None = None) -> list[tuple[int, int, int, float]]:
     """(prompt, first segment, number of segments, score), one to one: the best score first, ties by prompt, length and place.
 
+    With words, a list for each segment, a candidate counts only if the words that it keeps (all from FULL_SCORE on, else those of the agent, who
+    is the main speaker of the first segment) resemble the prompt by WORD_RATIO; otherwise the next best takes its place.
+
     All prompts of the call meet all its windows, but no list of pairs is made: near windows (at most NEAR places away) are listed, of the
     others each distinct text is compared once with each distinct prompt. What scores EQUAL or more is settled first, as equal texts need no
     comparing; only prompts and windows left by then are compared.
     """
-    call = _Call(prompts, segments, is_user)
+    call = _Call(prompts, segments, is_user, words)
     agents = [i for i, x in enumerate(is_user) if not x]
     effective, n = [], 0
     for x in is_user:
@@ -190,23 +230,44 @@ def align_call(prompts: list[str], segments: list[str], is_user: list[bool]) ->
     return sorted(call.out)
 
 
+RESULT = "CallID string, prompt_id bigint, first_seg bigint, n_segments bigint, score double, StartTime double, EndTime double, Transcript string"
+
+
 def align_prompts(prompts: DataFrame, segments: DataFrame) -> DataFrame:
-    """(CallID, prompt_id, first_seg, n_segments, score) for prompts that find segments; null first_seg for those that don't.
+    """(CallID, prompt_id, first_seg, n_segments, score, StartTime, EndTime, Transcript), a row per prompt.
 
-    prompts: CallID, id, place, text; segments: CallID, id, place, text, is_user. A call is settled as a whole in one task, because any of its
-    prompts may compete for any of its segments.
+    prompts: CallID, id, place, text; segments: CallID, id, place, text, is_user and, where known, start, end and words (array of word, start, end,
+    speaker). StartTime is that of the first word kept and EndTime that of the last, those of the window's segments where it has no words;
+    Transcript is what the kept words say, with numbers in words. Prompts that find no segment have nulls and their own text. A call is settled
+    as a whole in one task, because any of its prompts may compete for any of its segments.
     """
-    p = prompts.where("CallID is not null").select("CallID", F.lit(0).alias("kind"), "id", "place", "text", F.lit(False).alias("is_user"))
-    s = segments.where("CallID is not null").select("CallID", F.lit(1).alias("kind"), "id", "place", "text", "is_user")
+    none = F.lit(None).cast("double")
+    has = lambda c, other: F.col(c) if c in segments.columns else other.alias(c)
+    nothing = F.lit(None).cast("array<struct<word: string, start: double, end: double, speaker: string>>")
+    p = prompts.where("CallID is not null").select("CallID", F.lit(0).alias("kind"), "id", "place", "text", F.lit(False).alias("is_user"), none.alias("start"), none.alias("end"), nothing.alias("words"))
+    s = segments.where("CallID is not null").select("CallID", F.lit(1).alias("kind"), "id", "place", "text", "is_user", has("start", none), has("end", none), has("words", nothing))
 
     def call(f: pd.DataFrame) -> pd.DataFrame:
         f = f.sort_values(["kind", "place", "id"])
         a, b = f[f["kind"] == 0], f[f["kind"] == 1]
-        texts = [matching_key(x or "") for x in a["text"]]
-        got = {x[0]: x for x in align_call(texts, [matching_key(x or "") for x in b["text"]], list(b["is_user"]))}
-        ids = list(b["id"])
-        rows = [(c, i, ids[got[k][1]] if k in got else None, got[k][2] if k in got else None, got[k][3] if k in got else None) for k, (c, i) in enumerate(zip(a["CallID"], a["id"], strict=True))]
-        out = pd.DataFrame(rows, columns=["CallID", "prompt_id", "first_seg", "n_segments", "score"])
-        return out.astype({"first_seg": "Int64", "n_segments": "Int64", "score": "float64"})
-
-    return p.unionByName(s).groupBy("CallID").applyInPandas(call, "CallID string, prompt_id bigint, first_seg bigint, n_segments bigint, score double")
+        number = lambda x: None if pd.isna(x) else float(x)
+        words = [[(w["word"], w["speaker"], w["start"], w["end"]) for w in ws] if ws is not None else [] for ws in b["words"]]
+        texts, raw = [matching_key(x or "") for x in a["text"]], [x or "" for x in b["text"]]
+        speaker = speaker_of(words[0]) if words else None
+        got = {x[0]: x for x in align_call(texts, [matching_key(x) for x in raw], list(b["is_user"]), words if any(words) else None)}
+        ids, start, end = list(b["id"]), list(b["start"]), list(b["end"])
+        rows = []
+        for k, (c, i, text) in enumerate(zip(a["CallID"], a["id"], a["text"], strict=True)):
+            if k not in got:
+                rows.append((c, i, None, None, None, None, None, spoken_form(text)[1]))
+                continue
+            _, at, size, score = got[k]
+            kept = kept_words(words[at : at + size], score, speaker)
+            if kept:
+                rows.append((c, i, ids[at], size, score, number(kept[0][2]), number(kept[-1][3]), said(kept)[0]))
+            else:
+                rows.append((c, i, ids[at], size, score, number(start[at]), number(end[at + size - 1]), spoken_form(" ".join(raw[at : at + size]))[1]))
+        out = pd.DataFrame(rows, columns=[x.split()[0] for x in RESULT.split(", ")])
+        return out.astype({"first_seg": "Int64", "n_segments": "Int64", "score": "float64", "StartTime": "float64", "EndTime": "float64"})
+
+    return p.unionByName(s).groupBy("CallID").applyInPandas(call, RESULT)

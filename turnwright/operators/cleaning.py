@@ -106,12 +106,12 @@ def columns_with(df: DataFrame, kept: Iterable[str], tags: Iterable[str]) -> Dat
 
 def categories(df: DataFrame, columns: list[str], most: int = 10_000) -> dict[str, list[str]]:
     """Sorted distinct values of each column (more than most is an error: such a column isn't a category)."""
-    out = {}
-    for c in columns:
-        found = [r[0] for r in df.select(F.col(f"`{c}`").cast("string")).where(F.col(f"`{c}`").isNotNull()).distinct().limit(most + 1).collect()]
-        if len(found) > most:
+    one = F.explode(F.array(*[F.struct(F.lit(c).alias("c"), F.col(f"`{c}`").cast("string").alias("v")) for c in columns])).alias("x")
+    found = df.select(one).select("x.*").where("v is not null").distinct().limit(most * len(columns) + 1).collect() if columns else []
+    out = {c: sorted(r.v for r in found if r.c == c) for c in columns}
+    for c, values in out.items():
+        if len(values) > most or len(found) > most * len(columns):
             raise ValueError(f"{c} has more than {most} values")
-        out[c] = sorted(found)
     return out
 
 
@@ -132,6 +132,23 @@ def type_report(df: DataFrame, least_repeat: float = 0.5) -> DataFrame:
     return one.select(F.explode(F.array(*rows)).alias("r")).select("r.*")
 
 
+def memory_report(df: DataFrame) -> DataFrame:
+    """(column_name, kind, n_bytes, n_bytes_narrow): bytes of each column as it is, and with doubles in single precision and long whole numbers as
+    int where their values fit; texts count by their bytes, other kinds by the size that Spark takes them to have. One pass."""
+    kinds = {f.name: f.dataType for f in df.schema.fields}
+    fixed = lambda c: int(df.select(F.col(f"`{c}`"))._jdf.schema().head().dataType().defaultSize())
+    n = F.count(F.lit(1))
+    whole, narrow = [], []
+    for i, (c, k) in enumerate(kinds.items()):
+        col = F.col(f"`{c}`")
+        size = F.coalesce(F.sum(F.octet_length(col)), F.lit(0)) if isinstance(k, (T.StringType, T.BinaryType)) else n * fixed(c)
+        fits = F.coalesce(F.max(F.abs(col)) < 2**31, F.lit(False)) if isinstance(k, T.LongType) else F.lit(isinstance(k, T.DoubleType))
+        whole.append(size.cast("bigint").alias(f"w{i}"))
+        narrow.append((F.when(fits, size / 2).otherwise(size) if isinstance(k, (T.LongType, T.DoubleType)) else size).cast("bigint").alias(f"n{i}"))
+    rows = [F.struct(F.lit(c).alias("column_name"), F.lit(k.simpleString()).alias("kind"), F.col(f"w{i}").alias("n_bytes"), F.col(f"n{i}").alias("n_bytes_narrow")) for i, (c, k) in enumerate(kinds.items())]
+    return df.agg(*whole, *narrow).select(F.explode(F.array(*rows)).alias("r")).select("r.*")
+
+
 def single_precision(c: Column) -> Column:
     return c.cast("float").cast("double")
 

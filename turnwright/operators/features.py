@@ -11,6 +11,23 @@ from pyspark.sql import functions as F
 from turnwright.operators.ordered import place
 
 
+# The groups of feature columns, in order: words that a name must hold, words that it must not hold, and whose share of variance holds.
+GROUPS = {
+    "utterance_sbert": (("utterance", "sbert"), (), "systemf_text"),
+    "utterance_roberta": (("utterance", "roberta"), (), "systemf_text"),
+    "utterance_todbert": (("utterance", "tod_bert"), (), "systemf_text"),
+    "prompt_sbert": (("prompt", "sbert"), (), "systemf_text"),
+    "prompt_roberta": (("prompt", "roberta"), (), "systemf_text"),
+    "prompt_todbert": (("prompt", "tod_bert"), (), "systemf_text"),
+    "speechf_sbert": (("minilm",), ("utterance", "prompt"), "speechf_text"),
+    "speechf_roberta": (("roberta",), ("utterance", "prompt"), "speechf_text"),
+    "speechf_todbert": (("tod_bert",), ("utterance", "prompt"), "speechf_text"),
+    "speechf_wav2vec": (("wav2vec",), (), "speechf_wav"),
+    "speechf_hubert": (("hubert",), (), "speechf_wav"),
+    "speechf_wavlm": (("wavlm",), (), "speechf_wav"),
+}
+
+
 def route(columns: list[str], rules: dict[str, tuple[tuple[str, ...], tuple[str, ...]]]) -> dict[str, list[str]]:
     """Columns of each group: names, in lower case, that contain all words of the first tuple and none of the second. A column may be in several."""
     return {g: [c for c in columns if all(w in c.lower() for w in inc) and not any(w in c.lower() for w in exc)] for g, (inc, exc) in rules.items()}
@@ -51,6 +68,46 @@ def principal_components(train: DataFrame, frames: list[DataFrame], column: str,
     return out
 
 
+def scale_and_reduce(train: DataFrame, frames: list[DataFrame], shares: dict[str, float | None], kept: tuple[str, ...] = ("CallID", "IQMedian"), groups=None) -> list[DataFrame]:
+    """Each frame with its feature columns standardised on train and, group by group, replaced by principal components of train.
+
+    shares: for each kind of group the share of variance that its components hold together; None or an absent kind keeps all components. Columns
+    of a group become <group>__pca0, ...; a column may be in several groups; columns in none are only standardised, as non_pca__<column>. IQMedian
+    is counted from 0. Nulls count as the column's mean. All frames have the columns of train.
+    """
+    groups = GROUPS if groups is None else groups
+    columns = [c for c in train.columns if c not in kept]
+    routed = route(columns, {g: rule[:2] for g, rule in groups.items()})
+    rest = [c for c in columns if not any(c in cs for cs in routed.values())]
+    fitted = moments(train, columns)
+    z = lambda c: F.coalesce((F.col(f"`{c}`").cast("double") - fitted[c][0]) / fitted[c][1], F.lit(0.0))
+    own = [F.col(c) - 1 if c == "IQMedian" else F.col(c) for c in kept if c in train.columns]
+    names = [c for c in kept if c in train.columns]
+    vectors = [F.array(*[z(c) for c in cs]).alias(g) for g, cs in routed.items() if cs]
+    lay = lambda f: f.select(*[c.alias(n) for c, n in zip(own, names, strict=True)], *[z(c).alias(f"non_pca__{c}") for c in rest], *vectors)
+    fit, out = lay(train), [lay(f) for f in frames]
+    for g, cs in routed.items():
+        if not cs:
+            continue
+        model = PCA(k=len(cs), inputCol="_v", outputCol="_c").fit(fit.select(array_to_vector(g).alias("_v")))
+        share = shares.get(groups[g][2])
+        n = len(cs) if share is None else min(len(cs), int(np.searchsorted(np.cumsum(model.explainedVariance.toArray()), share, side="right")) + 1)
+        for i, f in enumerate(out):
+            x = model.transform(f.withColumn("_v", array_to_vector(g))).withColumn("_c", vector_to_array("_c"))
+            out[i] = x.withColumns({f"{g}__pca{k}": F.get("_c", F.lit(k)) for k in range(n)}).drop("_v", "_c", g)
+    return out
+
+
+def tensor_stats(df: DataFrame, columns: list[str]) -> DataFrame:
+    """One row (min, max, mean, std) over all values of all columns together; the deviation is that of a sample, nulls don't count."""
+    one = df.agg(*[f(F.col(f"`{c}`").cast("double")).alias(f"{n}{i}") for i, c in enumerate(columns) for n, f in (("lo", F.min), ("hi", F.max), ("n", F.count), ("s", F.sum), ("v", F.var_pop))])
+    col = lambda n: [F.col(f"{n}{i}") for i in range(len(columns))]
+    total = lambda cs: sum((F.coalesce(c, F.lit(0.0)) for c in cs), F.lit(0.0))
+    n, mean = total(col("n")), F.try_divide(total(col("s")), total(col("n")))
+    spread = total([c * (v + F.pow(F.try_divide(s, c) - mean, 2)) for c, v, s in zip(col("n"), col("v"), col("s"), strict=True)])
+    return one.select(F.least(*col("lo"), F.lit(None)).alias("min"), F.greatest(*col("hi"), F.lit(None)).alias("max"), mean.alias("mean"), F.sqrt(F.try_divide(spread, n - 1)).alias("std"))
+
+
 def expand(df: DataFrame, column: str, size: int, name: str) -> DataFrame:
     """An array column as size columns name0, name1, ...; places beyond its end are null."""
     return df.select("*", *[F.get(F.col(column), F.lit(i)).alias(f"{name}{i}") for i in range(size)]).drop(column)

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from turnwright.operators.ordered import BLOCK_ROWS, blocked, running
+from turnwright.operators.skew import salted_join
 
 
 def nearest_place(left: DataFrame, right: DataFrame, on: list[str], left_place: str, right_place: str, block_rows: int = BLOCK_ROWS) -> DataFrame:
@@ -68,6 +69,12 @@ def exclusion_reasons(calls: DataFrame, key: str, invalid: DataFrame | None = No
     return out.groupBy(key).agg(F.max_by("reason", F.struct("rank", "reason")).alias("reason"))
 
 
+def with_files(df: DataFrame, files: DataFrame, key: str, file_key: str, path: str) -> DataFrame:
+    """df plus path, the file of its group; null where there is none. Of several files of a group the greatest path counts."""
+    one = files.where(F.col(file_key).isNotNull()).groupBy(F.col(file_key).alias("_f")).agg(F.max(path).alias(path))
+    return salted_join(df.withColumn("_f", F.col(key)), one, "_f", "left").drop("_f")
+
+
 def exclude(df: DataFrame, reasons: DataFrame, key: str) -> DataFrame:
     return df.join(reasons.select(key), key, "left_anti")
 

@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from turnwright.operators.ordered import BLOCK_ROWS, blocked, running
+from turnwright.operators.ordered import BLOCK_ROWS, blocked, place, running
+from turnwright.operators.skew import salted_join
 
 
 def confusion(df: DataFrame, true: str, predicted: str) -> DataFrame:
@@ -93,11 +94,19 @@ def union_results(frames: list[DataFrame]) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
 
 
+def filtered(df: DataFrame, **values) -> DataFrame:
+    """Rows whose columns equal the values given; a value of None asks nothing. A column that isn't there is an error."""
+    for c, v in values.items():
+        if v is not None:
+            df = df.where(F.col(f"`{c}`") == F.lit(v))
+    return df
+
+
 def median_run(df: DataFrame, by: str, score: str, tie: str) -> DataFrame:
-    """Of the runs of each group the one in the middle by score (of an even number the upper)."""
-    w = Window.partitionBy(by)
-    d = df.select(by, score, tie).withColumns({"_k": F.row_number().over(w.orderBy(score, tie)), "_n": F.count(F.lit(1)).over(w)})
-    return d.where(F.col("_k") == F.floor(F.col("_n") / 2) + 1).drop("_k", "_n")
+    """Of the runs of each group the one in the middle by score (of an even number the upper). Groups, scores and ties are not null."""
+    d = place(df.where(F.col(by).isNotNull()).select(by, score, tie), [by], [score, tie], "_k")
+    n = d.groupBy(by).agg(F.count(F.lit(1)).alias("_n"))
+    return salted_join(d, n, by).where(F.col("_k") == F.floor(F.col("_n") / 2)).drop("_k", "_n")
 
 
 def labels_agree(a: DataFrame, b: DataFrame) -> bool:

@@ -8,8 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from turnwright.functions import text as X
+from turnwright.functions import words as W
 from turnwright.functions.ids import call_id, present, usable
-from turnwright.operators import align, cleaning, exchange, features, joins, metrics, partitions, signal, stats
+from turnwright.operators import align, cleaning, evaluation, exchange, features, joins, metrics, partitions, signal, stats
 from turnwright.operators.ordered import fill_ordered, place
 from turnwright.plans import sqltext as S
 from turnwright.sources import readers, writers
@@ -532,11 +533,105 @@ def holm_correction(spark, d):
     return stats.holm(t, "p", "n_name").withColumn("p_corrected", F.round("p_corrected", 6))
 
 
+def _macro(a: str) -> str:
+    return f"""(with x as (select t as y, {a} as p from {_rated}), k as (select y as l from x union select p from x),
+ s as (select l, (select count(*) from x where y = l and p = l)::double as h, (select count(*) from x where y = l) as n, (select count(*) from x where p = l) as m from k) select avg(2 * h / (n + m)) as f1, avg(case when n > 0 then h / n else 0 end) as recall from s)"""
+
+
+_raters = {"IQRater1": "a", "IQRater2": "b", "IQRater3": "c"}
+_pairs = [("IQRater1", "IQRater2"), ("IQRater1", "IQRater3"), ("IQRater2", "IQRater3")]
+
+
+@query(" union all ".join(f"select '{x} vs {y}' as comparison, round(u.f1, 6) as f1_model_a, round(v.f1, 6) as f1_model_b, round(u.recall, 6) as recall_model_a, round(v.recall, 6) as recall_model_b from {_macro(_raters[x])} u, {_macro(_raters[y])} v" for x, y in _pairs))
+def pairwise_scores(spark, d):
+    r = stats.pairwise(_rated_rows(spark, d), "IQMedian", ["IQRater1", "IQRater2", "IQRater3"])
+    return r.select("comparison", *[F.round(c, 6).alias(c) for c in ("f1_model_a", "f1_model_b", "recall_model_a", "recall_model_b")])
+
+
 @query()
 def pairwise_compare(spark, d):
     return stats.pairwise(_rated_rows(spark, d), "IQMedian", ["IQRater1", "IQRater2", "IQRater3"])
 
 
+@query("select o_orderkey, o_orderstatus, o_orderpriority from orders where o_orderstatus = 'F' and o_orderpriority = '1-URGENT'")
+def filter_chain(spark, d):
+    t = table(spark, d, "orders").select("o_orderkey", "o_orderstatus", "o_orderpriority")
+    return metrics.filtered(t, o_orderstatus="F", o_orderpriority="1-URGENT", o_orderkey=None)
+
+
+@query("select round(min(v), 4) as \"min\", round(max(v), 4) as \"max\", round(avg(v), 4) as mean, round(stddev_samp(v), 4) as std from (select unnest([l_quantity::double, l_extendedprice::double, l_discount::double]) as v from lineitem)")
+def tensor_stats(spark, d):
+    r = features.tensor_stats(table(spark, d, "lineitem"), _scaled)
+    return r.select(*[F.round(c, 4).alias(c) for c in r.columns])
+
+
+@query("""select 'o_orderkey' as column_name, 'bigint' as kind, count(*) * 8 as n_bytes, count(*) * 4 as n_bytes_narrow from orders
+ union all select 'o_totalprice', 'double', count(*) * 8, count(*) * 4 from orders union all select 'o_orderpriority', 'string', cast(sum(strlen(o_orderpriority)) as bigint), cast(sum(strlen(o_orderpriority)) as bigint) from orders""")
+def memory_report(spark, d):
+    return cleaning.memory_report(table(spark, d, "orders").select("o_orderkey", F.col("o_totalprice").cast("double").alias("o_totalprice"), "o_orderpriority"))
+
+
+@query(f"select turn_id, path from (select turn_id, {S.cid('CallID')} as c from {S.AGENT}) left join (select filecode, max(dyad_path) as path from audio_inventory group by filecode) on c = filecode")
+def group_files(spark, d):
+    t = agent(spark, d).select(F.col("ord").alias("turn_id"), "CallID")
+    return joins.with_files(t, table(spark, d, "audio_inventory").select("filecode", F.col("dyad_path").alias("path")), "CallID", "filecode", "path").select("turn_id", "path")
+
+
+@query("select right(regexp_replace(f, '[^0-9]', '', 'g'), 11) as filecode, max(p) as path from (select dyad_path as p, string_split(dyad_path, '/')[-1] as f from audio_inventory) where starts_with(f, 'LetsGoPublic') and ends_with(f, 'output.wav') and regexp_matches(f, '[0-9]') group by 1")
+def dyad_inventory(spark, d):
+    return readers.dyad_audio(table(spark, d, "audio_inventory"), "dyad_path")
+
+
+def _said(spark, d):
+    """Words of each utterance at even steps of a tenth of a second, every third by the agent."""
+    u = user(spark, d).select(F.col("ord").alias("utt_id"), X.tidy_blanks(F.coalesce("Transcript", F.lit(""))).alias("t"), usable(F.col("StartTime")).alias("s")).where("t != ''")
+    word = lambda w, i: F.struct(w.alias("word"), (i / 10).alias("start"), (i / 10 + 0.05).alias("end"), F.when(i % 3 == 2, "agent").otherwise("user").alias("speaker"))
+    return u.withColumn("words", F.transform(F.split("t", " "), word))
+
+
+@query(f"""with u as (select utt_id, string_split({S.blanks('Transcript')}, ' ') as ws, {S.finite('StartTime')} as s from {S.USER} where {S.blanks('Transcript')} != '')
+ select utt_id, cast(2 * len(ws) as int) as n_words, array_to_string([w for w, i in ws if (i - 1) % 3 < 2], ' ') as said, 'user' as speaker, round(s + (len(ws) - 1) / 10, 3) as last_start from u""")
+def word_lists(spark, d):
+    t = _said(spark, d)
+    both = W.flat_words(F.array(F.struct("words"), F.struct("words")))
+    mine, late = W.of_speaker(F.col("words"), F.lit("user")), W.shifted_words(F.col("words"), F.col("s"))
+    return t.select("utt_id", F.size(both).alias("n_words"), W.words_text(mine).alias("said"), W.main_speaker(F.col("words")).alias("speaker"), F.round(F.element_at(late, -1)["start"], 3).alias("last_start"))
+
+
+# ---- models
+
+_features = ["request_present", "place_present", "time_present", "route_present", "confirm_present", "Modality_speech", "ASRRecognitionStatus_success", "ASRRecognitionStatus_timeout", "RoleName_confirm", "ASRConfidence"]
+
+
+def _modelled(spark, d):
+    t = table(spark, d, "filtered_system_features").dropDuplicates(["log_id"]).where("IQMedian between 1 and 5")
+    return t.select(call_id(F.col("CallID")).alias("CallID"), (F.col("IQMedian") - 1).alias("label"), *_features[:-1], usable(F.col("ASRConfidence")).alias("ASRConfidence"))
+
+
+@query()
+def scale_and_reduce(spark, d):
+    """Groups of columns made of the places of the embeddings, named as the feature tables name them."""
+    e = table(spark, d, "embeddings")
+    tags = ["Prompt_sbert_dim", "Utterance_roberta_base_dim", "CombinedTranscript_MiniLM_Dim", "wav2vec2_Emb"]
+    t = e.select((F.col("vec_id") % 20).cast("string").alias("CallID"), (F.col("label") % 5 + 1).cast("int").alias("IQMedian"), "vec_id", *[F.get("embedding", F.lit(i)).cast("double").alias(f"{tags[i // 16]}{i % 16}") for i in range(64)])
+    train = t.where("vec_id % 5 != 0")
+    a, b = features.scale_and_reduce(train.drop("vec_id"), [train.drop("vec_id"), t.where("vec_id % 5 = 0").drop("vec_id")], {"systemf_text": 0.9, "speechf_text": 0.8, "speechf_wav": None})
+    return a.unionByName(b)
+
+
+@query()
+def cv_grid(spark, d):
+    return evaluation.grid_search(_modelled(spark, d), _features, "label", "CallID", {"regParam": [0.01, 0.1], "elasticNetParam": [0.0]})
+
+
+@query()
+def final_evaluation(spark, d):
+    t = _modelled(spark, d)
+    parts = partitions.group_split(t, "CallID")
+    part = lambda p: t.join(parts.where(F.col("part") == p).select("CallID"), "CallID", "left_semi")
+    return evaluation.final_evaluation(part("train"), part("test"), _features, "label", "CallID", {"regParam": 0.01})[0]
+
+
 # ---- signal
 
 
@@ -557,10 +652,14 @@ def frame_index(spark, d):
     return u.select("utt_id", signal.frame(F.col("s"), 16000.0, F.lit(1_000_000_000)).alias("frame"))
 
 
-@query()
+# the sum of products at every shift; of equal sums the least shift, as argmax takes it
+@query("""with e as (select vec_id, cast(vec_id % 7 as int) as k, embedding as b, list_concat([0.0::double for _ in range(cast(vec_id % 7 as int))], embedding) as a from embeddings),
+ s as (select vec_id, a, b, unnest(range(1 - len(b), len(a))) as lag from e),
+ p as (select vec_id, lag, list_sum([a[i + lag] * b[i]::double for i in range(greatest(1, 1 - lag), least(len(b), len(a) - lag) + 1)]) as v from s)
+ select vec_id, cast(arg_max(lag, v) as double) as lag from p group by vec_id""")
 def xcorr_offset(spark, d):
-    t = table(spark, d, "embeddings")
-    later = F.concat(F.array_repeat(F.lit(0.0).cast("float"), 5), F.col("embedding"))
+    t = table(spark, d, "embeddings").withColumn("k", (F.col("vec_id") % 7).cast("int"))
+    later = F.concat(F.array_repeat(F.lit(0.0), F.col("k")), F.col("embedding").cast("array<double>"))
     return t.select("vec_id", signal.lag_samples(later, F.col("embedding")).alias("lag"))
 
 

@@ -25,9 +25,23 @@ def read_table(spark: SparkSession, path: str, schema: str | T.StructType) -> Da
     return spark.read.option("header", True).option("multiLine", True).option("escape", '"').schema(schema).csv(path)
 
 
+# The numbers among the columns of results; all others are text.
+RESULT_NUMBERS = ("hidden_size", "num_layers", "learning_rate", "epochs", "batch_size", "n_comp_systemf", "n_comp_speechf_text", "n_comp_speechf_wav", "macro_recall", "macro_f1")
+
+
 def read_results(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """CSV results with differing columns, one under the other."""
-    return union_results([spark.read.option("header", True).option("inferSchema", True).csv(p) for p in sorted(paths)])
+    """CSV results, files or folders of any depth, one under the other by name; a column that a file lacks is null in its rows.
+
+    Files are read by their own headers, those with equal headers together. Columns of RESULT_NUMBERS are doubles, null where a text is no number.
+    """
+    files = sorted({r.path for p in paths for r in spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.csv").load(p).select("path").collect()})
+    by_header: dict[tuple[str, ...], list[str]] = {}
+    for f in files:
+        by_header.setdefault(tuple(spark.read.option("header", True).csv(f).columns), []).append(f)
+    if not by_header:
+        raise ValueError(f"no results in {paths}")
+    number = lambda f: f.withColumns({c: F.col(c).try_cast("double") for c in RESULT_NUMBERS if c in f.columns})
+    return union_results([number(spark.read.option("header", True).option("enforceSchema", False).schema(T.StructType([T.StructField(c, T.StringType()) for c in h])).csv(fs)) for h, fs in by_header.items()])
 
 
 def read_mixed(spark: SparkSession, path: str) -> DataFrame:
@@ -61,6 +75,21 @@ def audio_pairs(paths: DataFrame, path: str) -> DataFrame:
     return d.where("filecode is not null").groupBy("filecode").pivot("role", ["dyad", "user"]).agg(F.max("p"))
 
 
+def dyad_audio(paths: DataFrame, path: str) -> DataFrame:
+    """(filecode, path) of the recordings of both sides: names that begin with LetsGoPublic and end with output.wav. The greatest path wins."""
+    name = F.element_at(F.split(path, "/"), -1)
+    d = paths.where(name.startswith("LetsGoPublic") & name.endswith("output.wav")).select(file_code(F.col(path)).alias("filecode"), F.col(path).alias("path"))
+    return d.where("filecode is not null").groupBy("filecode").agg(F.max("path").alias("path"))
+
+
+def audio_validity(listed: DataFrame, path: str, found: DataFrame) -> DataFrame:
+    """listed plus reason: why the file at path can't be used, null if it can. found: read_audio() of the folders. As Spark lists no files without
+    a byte, those count as not found."""
+    f = found.select(F.col("path").alias("_path"), "size", "frames").dropDuplicates(["_path"])
+    d = listed.join(f, F.col(path) == F.col("_path"), "left")
+    return d.withColumn("reason", audio_reason(F.col("_path").isNotNull(), F.col("size"), F.col("frames"))).drop("_path", "size", "frames")
+
+
 def audio_reason(exists: Column, size: Column, frames: Column) -> Column:
     """Why a recording can't be used, else null."""
     return F.when(~F.coalesce(exists, F.lit(False)), "file not found").when(F.coalesce(size, F.lit(0)) == 0, "empty file").when(frames.isNull(), "unreadable").when(frames == 0, "no frames")

@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from turnwright.functions.text import pca_tag
+
 
 def write_table(df: DataFrame, path: str, parts: list[str] | None = None, mode: str = "overwrite") -> None:
     w = df.write.mode(mode)
@@ -36,6 +38,17 @@ def unmatched_json(df: DataFrame, key: str, text: str) -> DataFrame:
     return df.groupBy(key).agg(F.sort_array(F.collect_list(text)).alias("texts"))
 
 
+def write_unmatched(df: DataFrame, key: str, text: str, path: str) -> None:
+    """unmatched_json() as JSON lines, an object for each call."""
+    unmatched_json(df, key, text).write.mode("overwrite").json(path)
+
+
+def result_name(split: str, dataset: str, **shares: float | None) -> str:
+    """The name of a table of a split and dataset: each share of variance follows its kind tenfold, none as nothing, as in
+    train_speech_text8_wav.parquet."""
+    return "_".join([split, dataset, *[f"{k}{pca_tag(v)}" for k, v in shares.items()]]) + ".parquet"
+
+
 def only_calls(df: DataFrame, calls: DataFrame, key: str) -> DataFrame:
     return df.join(calls.select(key).distinct(), key, "left_semi")
 
