@@ -6,6 +6,7 @@ inferred together by variational updates. An annotator with few labels is judged
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Iterator
 
 import numpy as np
@@ -14,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from turnwright.operators.skew import salted_join
-from turnwright.session import stage
+from turnwright.session import drop_stage, stage
 
 #: How many votes per class the types of an annotator count for beside its own.
 STRENGTH = 20.0
@@ -33,16 +34,19 @@ def digamma(x: np.ndarray) -> np.ndarray:
 
 
 def first_types(k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Matrices to start from and how firmly each is held: sharp, loose, strict, mild and contrary types, which learn from their members, and
-    types whose labels say nothing, indifferent or always c for each class c. Those stay what they are, or the average annotator would turn
-    the indifferent type into its own likeness and all would end up in it."""
+    """Matrices to start from, and which of them learn from their members: sharp, loose, strict, mild and contrary types do. Types whose labels
+    say nothing, indifferent or always c for each class c, stay what they are at every size of the data, or the average annotator would turn the
+    indifferent type into its own likeness and all would end up in it."""
     i = np.arange(k)
     d = i[None, :] - i[:, None]
     kinds = [np.exp(-1.6 * abs(d)), np.exp(-0.8 * abs(d)), np.exp(-1.2 * abs(d + 1)), np.exp(-1.2 * abs(d - 1)), np.exp(-1.2 * abs(i[None, :] - (k - 1 - i)[:, None]))]
     learn = len(kinds)
     kinds += [np.ones((k, k))] + [np.tile(np.where(i == c, 20.0, 1.0), (k, 1)) for c in range(k)]
-    firm = np.where(np.arange(len(kinds)) < learn, 10.0, 1e6)
-    return np.stack([m / m.sum(1, keepdims=True) for m in kinds]), firm[:, None, None]
+    return np.stack([m / m.sum(1, keepdims=True) for m in kinds]), (np.arange(len(kinds)) < learn)[:, None, None]
+
+
+#: What the matrix of a type that doesn't learn is worth in votes a class.
+FIXED = 1e6
 
 
 class Consensus:
@@ -50,10 +54,11 @@ class Consensus:
 
     patterns (pattern, q): posterior over classes of each distinct set of votes. annotators (annotator, n_votes, reliability, type_no):
     reliability is the correlation of the annotator's labels with the true ones, 0 for one whose labels say nothing, negative for a contrary one.
+    converged is true if the matrices had settled when the rounds ended.
     """
 
-    def __init__(self, classes: list[int], patterns: DataFrame, annotators: DataFrame, rounds: int):
-        self.classes, self.patterns, self.annotators, self.rounds = classes, patterns, annotators, rounds
+    def __init__(self, classes: list[int], patterns: DataFrame, annotators: DataFrame, rounds: int, converged: bool):
+        self.classes, self.patterns, self.annotators, self.rounds, self.converged = classes, patterns, annotators, rounds, converged
 
 
 def pattern_of(votes: Column) -> Column:
@@ -61,11 +66,12 @@ def pattern_of(votes: Column) -> Column:
     return F.when(F.size(votes) > 0, F.array_join(F.transform(F.array_sort(votes), lambda v: F.concat_ws(":", v["a"].cast("string"), v["l"].cast("string"))), "|"))
 
 
-def fit(items: DataFrame, votes: str, classes: list[int], most_rounds: int = 12, tolerance: float = 5e-3) -> Consensus:
+def fit(items: DataFrame, votes: str, classes: list[int], most_rounds: int = 60, tolerance: float = 5e-3, strength: float = STRENGTH) -> Consensus:
     """Fit the model to items, whose column votes is array<struct<a: bigint, l: int>> with l among classes.
 
     Items with equal votes are counted together first, so each round runs over distinct sets of votes. An annotator who holds a third of all
-    votes does no harm: its counts are summed before they are moved.
+    votes does no harm: its counts are summed before they are moved. Rounds go on until no entry of a shared matrix moves by more than tolerance;
+    if most_rounds end before that, a warning says so and the model's converged is false.
     """
     k = len(classes)
     v = items.select(F.col(votes).alias("v")).where(F.size("v") > 0).select(pattern_of(F.col("v")).alias("pattern"), F.array_sort("v").alias("v"))
@@ -73,27 +79,33 @@ def fit(items: DataFrame, votes: str, classes: list[int], most_rounds: int = 12,
     labels = stage(pat.select("pattern", "n", F.explode("v").alias("x")).select("pattern", "n", F.col("x.a").alias("a"), F.col("x.l").alias("l")), "p2-votes")
     ks = [f"q{c}" for c in range(k)]
     total = sum((F.col(q) for q in ks), F.lit(0.0))
-    types, firm = first_types(k)
-    alpha, mu = types * firm + 0.1, np.full(len(types), 1.0 / len(types))
+    types, learns = first_types(k)
+    prior = types * np.where(learns, 10.0, FIXED) + 0.1
+    alpha, mu = prior, np.full(len(types), 1.0 / len(types))
     first = labels.groupBy("pattern", "n").agg(*[F.pow(F.avg((F.col("l") == c).cast("double")) + 0.1, 2).alias(q) for c, q in zip(classes, ks, strict=True)])
     post = first.select("pattern", "n", *[(F.col(q) / total).alias(q) for q in ks])
     for rounds in range(1, most_rounds + 1):
         rated = _rated(labels, post, ks)
         ln_c = digamma(alpha) - digamma(alpha.sum(2, keepdims=True))
         sums, weight, true = _type_sums(rated, classes, ln_c, np.log(mu))
-        fresh = types * firm + 0.1 + sums
+        fresh = prior + np.where(learns, sums, 0.0)
         moved = np.abs(fresh / fresh.sum(2, keepdims=True) - alpha / alpha.sum(2, keepdims=True)).max()
         model = (ln_c, np.log(mu), fresh / fresh.sum(2, keepdims=True))
         alpha, mu, pi = fresh, (weight + 1) / (weight + 1).sum(), (true + 1) / (true + 1).sum()
-        w = rated.mapInPandas(_weigher(classes, *model), "a bigint, l int, " + ", ".join(f"w{c} double" for c in range(k)))
+        w = rated.mapInPandas(_weigher(classes, *model, strength), "a bigint, l int, " + ", ".join(f"w{c} double" for c in range(k)))
         score = labels.join(w, ["a", "l"]).groupBy("pattern", "n").agg(*[(F.sum(f"w{c}") + float(np.log(pi[c]))).alias(f"s{c}") for c in range(k)])
         score = score.withColumn("top", F.greatest(*[F.col(f"s{c}") for c in range(k)], F.lit(float("-inf"))))
         score = score.select("pattern", "n", *[F.exp(F.col(f"s{c}") - F.col("top")).alias(q) for c, q in enumerate(ks)])
-        post = stage(score.select("pattern", "n", *[(F.col(q) / total).alias(q) for q in ks]), "p2-posterior")
+        before, post = post, stage(score.select("pattern", "n", *[(F.col(q) / total).alias(q) for q in ks]), "p2-posterior")
+        drop_stage(rated)
+        if rounds > 1:
+            drop_stage(before)
         if moved < tolerance:
             break
-    annotators = _rated(labels, post, ks).mapInPandas(_judge(classes, *model, pi), "annotator bigint, n_votes bigint, reliability double, type_no int")
-    return Consensus(classes, post.select("pattern", F.array(*ks).alias("q")), annotators, rounds)
+    else:
+        warnings.warn(f"shared matrices still move by {moved:.3g} after {most_rounds} rounds", stacklevel=2)
+    annotators = _rated(labels, post, ks).mapInPandas(_judge(classes, *model, pi, strength), "annotator bigint, n_votes bigint, reliability double, type_no int")
+    return Consensus(classes, post.select("pattern", F.array(*ks).alias("q")), annotators, rounds, bool(moved < tolerance))
 
 
 def _rated(labels: DataFrame, post: DataFrame, ks: list[str]) -> DataFrame:
@@ -117,7 +129,7 @@ def _belongs(n: np.ndarray, ln_c: np.ndarray, ln_mu: np.ndarray) -> np.ndarray:
 
 
 def _type_sums(rated: DataFrame, classes: list[int], ln_c: np.ndarray, ln_mu: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Counts of each type, its weight, and the counts of the true classes: one row of fixed size from each task comes to the driver."""
+    """Counts of each type, its weight, and the counts of the true classes, summed over tasks: a row for each number comes to the driver."""
     m, k = len(ln_c), len(classes)
 
     def part(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -129,10 +141,12 @@ def _type_sums(rated: DataFrame, classes: list[int], ln_c: np.ndarray, ln_mu: np
                 sums += r[:, None, None] * n[None]
                 weight += r
                 true += n.sum(1)
-        yield pd.DataFrame({"x": [np.concatenate([sums.ravel(), weight, true]).tolist()]})
+        x = np.concatenate([sums.ravel(), weight, true])
+        yield pd.DataFrame({"i": np.arange(len(x)), "x": x})
 
-    rows = rated.select("c").mapInPandas(part, "x array<double>").collect()
-    x = np.sum([np.asarray(r.x) for r in rows], axis=0) if rows else np.zeros(m * k * k + m + k)
+    x = np.zeros(m * k * k + m + k)
+    for r in rated.select("c").mapInPandas(part, "i int, x double").groupBy("i").agg(F.sum("x").alias("x")).collect():
+        x[r.i] = r.x
     return x[: m * k * k].reshape(m, k, k), x[m * k * k : m * k * k + m], x[m * k * k + m :]
 
 

@@ -16,6 +16,8 @@ OPEN = 64
 #: Containers that one task fills at the least, so that its last, open ones are few among them.
 PER_TASK = 4000
 MERGE = 16
+#: Tasks at the most; beyond that each fills more containers, which costs time but no memory.
+MOST_TASKS = 20_000
 
 
 class Windows:
@@ -74,7 +76,7 @@ def pack(sizes: DataFrame, item: str, size: str, capacity: int) -> DataFrame:
     d = sizes.select(F.col(item).cast("bigint").alias("i"), F.coalesce(F.col(size), F.lit(0)).cast("bigint").alias("n"))
     d = stage(d, "p9-sizes")
     total = d.agg(F.sum("n")).first()[0] or 0
-    tasks = max(1, round(total / capacity / PER_TASK))
+    tasks = max(1, min(MOST_TASKS, round(total / capacity / PER_TASK)))
     filled = stage(d.repartition(tasks, F.xxhash64("i")).sortWithinPartitions("i", "n").mapInArrow(_filler(capacity, 0), _SCHEMA), "p9-filled")
     rows = filled.where("not open").drop("open")
     rest = filled.where("open").select(F.col("container").alias("i"), F.col("n_tokens").alias("n"))

@@ -22,12 +22,17 @@ PLACES = (
 )
 
 
+#: Places where a text must divide whatever surrounds it; see tokens.divides.
+DIVIDES = re.compile(r"(?<=\S)[ \n\t\r]")
+
+
 def cut(text: str, c: Codec, limit: int, overlap: int) -> list[tuple[int, int, int, int, int, str]]:
     """Pieces (first character, end, first token, end, tokens of the piece on its own, kind of cut at its end) of a text.
 
     Token ends are prefix sums of token widths; a cut lies at the last place of the strongest kind within the limit that leaves the piece at
     least half full, else at the last place of any kind that moves on, else hard at the limit (kind 'hard'), never inside a character. The next
-    piece begins overlap tokens before the cut, or up to three more where that would be inside a character.
+    piece begins overlap tokens before the cut, or up to three more where that would be inside a character. The tokens of a piece on its own are
+    those of the whole text between the first and the last place in it where the text must divide; only its edges are encoded again.
     """
     ids = c.encode(text)
     if len(ids) <= limit:
@@ -41,7 +46,17 @@ def cut(text: str, c: Codec, limit: int, overlap: int) -> list[tuple[int, int, i
         at = starts[np.array([m.end() for m in p.finditer(text)], dtype=np.int64)] if len(text) else np.zeros(0, np.int64)
         tok = np.searchsorted(ends, at)
         kinds.append(tok[ends[np.minimum(tok, len(ids))] == at])
+    must = np.array([m.start() for m in DIVIDES.finditer(text)], dtype=np.int64)  # characters
+    at_must = np.searchsorted(ends, starts[must]) if len(must) else must  # the tokens that begin there
     out, s, n = [], 0, len(ids)
+
+    def alone(a: int, b: int) -> int:
+        i, j = np.searchsorted(must, a), np.searchsorted(must, b, side="right") - 1
+        if i > j:
+            return len(c.encode(text[a:b]))
+        first, last = must[i], must[j]
+        return len(c.encode(text[a:first])) + int(at_must[j] - at_must[i]) + len(c.encode(text[last:b]))
+
     names = ("paragraph", "line", "sentence", "clause", "word")
     while True:
         room = limit
@@ -49,7 +64,7 @@ def cut(text: str, c: Codec, limit: int, overlap: int) -> list[tuple[int, int, i
             top = s + room
             e, kind = _last(kinds, names, s, top, overlap, limit, n, whole)
             a, b = (int(np.searchsorted(starts, ends[x])) for x in (s, e))
-            own = len(c.encode(text[a:b]))
+            own = alone(a, b)
             if own <= limit:
                 break
             room = min(room, e - s) - max(1, own - limit)  # a piece read on its own may divide otherwise at its edges

@@ -13,6 +13,7 @@ from turnwright.llm.splits import components, stratify
 from turnwright.llm.tokens import count_tokens, encode_column
 from turnwright.llm.turns import spoken, turn_texts, turns
 from turnwright.operators.skew import salted_join
+from turnwright.plans import sqltext as S
 from turnwright.session import stage
 
 CAPACITY, LIMIT, OVERLAP = 2048, 512, 64
@@ -61,6 +62,12 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return wrong.select(F.lit("item").alias("subject_kind"), F.col("log_id").alias("subject_id")).unionByName(bad.select(F.lit("rater").alias("subject_kind"), F.col("annotator").alias("subject_id")))
 
 
+def p2_items(spark: SparkSession, d: str) -> DataFrame:
+    """The items of p2_found with what they were held against."""
+    items, _ = consensus(stage(_rated(spark, d), "p2-items"), "votes", CLASSES)
+    return items.where(F.col("consensus").isNotNull() & misstated(F.col("IQMedian"), F.col("votes"))).select("log_id", "IQMedian", F.size("votes").alias("n_votes"), F.round("agreement", 6).alias("agreement"))
+
+
 def split_name(c: Column) -> Column:
     """train, validation or test behind their loose spellings, else null."""
     # Spellings of the three splits.
@@ -125,6 +132,19 @@ def p10_pieces(spark: SparkSession, d: str) -> DataFrame:
     return split_texts(table(spark, d, "documents"), "doc_id", "text", LIMIT, OVERLAP)
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_consensus, p2_raters, p3_found, p3_splits, p7_found, p7_turns, p8_ids, p9_containers, p10_pieces)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_items, p2_consensus, p2_raters, p3_found, p3_splits, p7_found, p7_turns, p8_ids, p9_containers, p10_pieces)}
+
+_votes = f"(select log_id, IQMedian as q, list_sort([x for x in [IQRater1, IQRater2, IQRater3] if x between 1 and 5]) as v from {S.LOG})"
+_named = f"lower({S.tidy('split_name')})"
+_split = f"case when {_named} in ('train', 'training', 'trn') then 'train' when {_named} in ('validation', 'valid', 'val', 'dev', 'development') then 'validation' when {_named} in ('test', 'testing', 'tst') then 'test' end"
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "p2_items": f"""select log_id, q as IQMedian, cast(n as int) as n_votes, round((list_sum([list_sum([(case when x = y then 1 else 0 end) for y in v]) for x in v]) - n)::double / (n * (n - 1)), 6) as agreement
+ from (select *, len(v) as n, v[(len(v) - 1) // 2 + 1] + v[len(v) // 2 + 1] as twice from {_votes}) where n >= 2 and (q is null or abs(2 * q - twice) != twice % 2)""",
+    "p3_found": f"""with recursive t as (select {S.cid('CallID')} as c, caller_key as k, {_split} as p from (select distinct on (log_id) * from filtered_system_features)),
+ e as (select distinct c, k from t where c is not null and k is not null), near as (select distinct a.c, b.c as d from e a join e b on a.k = b.k),
+ r(root, c) as (select distinct c, c from t where c is not null union select r.root, near.d from r join near on r.c = near.c),
+ of_call as (select c, min(root) as g from r group by c), of_key as (select k, min(g) as g from e join of_call using (c) group by k),
+ torn as (select coalesce(x.g, y.g) as g from t left join of_call x on t.c = x.c left join of_key y on t.k = y.k group by 1 having count(distinct p) > 1)
+ select c as call_id from of_call where g in (select g from torn where g is not null)""",
+}

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from turnwright.operators.skew import salted_join
-from turnwright.session import stage
+from turnwright.session import drop_stage, stage
 
 #: Components that hold at least this share of all rows are placed first and one by one; there are at most 1 / LARGE of them.
 LARGE = 1e-3
@@ -32,6 +32,8 @@ def components(links: DataFrame, node: str, hub: str, most_rounds: int = 60) ->
         jump = near.select(F.col("n").alias("c"), F.col("c").alias("cc"))
         now = salted_join(near, jump, "c").select("n", F.col("cc").alias("c"), (F.col("cc") != F.col("was")).alias("moved"))
         now = stage(now, "p3-now")
+        drop_stage(near)
+        drop_stage(at)
         at = now.select("n", "c")
         if not now.where("moved").limit(1).count():
             break

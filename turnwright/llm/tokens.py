@@ -70,8 +70,14 @@ class Codec:
         return left
 
     def decode(self, ids) -> str:
-        """The text of ids; bytes that are no text become replacement marks."""
-        return b"".join(self.pieces[i] for i in ids).decode("utf-8", "replace")
+        """The text of ids, concatenated up the tree; bytes that are no text become replacement marks."""
+        return self._bytes(ids, 0, len(ids)).decode("utf-8", "replace")
+
+    def _bytes(self, ids, lo: int, hi: int) -> bytes:
+        if hi - lo <= self.leaf:
+            return b"".join([self.pieces[i] for i in ids[lo:hi]])
+        mid = (lo + hi) // 2
+        return self._bytes(ids, lo, mid) + self._bytes(ids, mid, hi)
 
 
 def divides(text: str, x: int) -> bool:
