@@ -1,4 +1,5 @@
 import random
+import re
 from collections import defaultdict
 
 import pytest
@@ -6,8 +7,8 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from turnwright.llm.packing import Windows, pack
-from turnwright.llm.pieces import cut, split_texts
-from turnwright.llm.tokens import codec, decode_column, encode_column
+from turnwright.llm.pieces import cut, places, split_texts
+from turnwright.llm.tokens import codec, decode_column, divides, encode_column
 
 TEXTS = ["", " ", "\n\n  \n", "a", "hello world. How are you?\n\nFine,  thanks.", "<|endoftext|> it's 's", "日本語の文章。" * 40, "x" * 3000, "é \U0001f600 ​    z", " \t\n" * 500, "don't I'll we've " * 200, "123456789" * 300]
 
@@ -109,3 +110,13 @@ def test_split_texts(spark):
     with pytest.raises(ValueError):
         split_texts(d, "k", "text", 40, 20)
     assert split_texts(d.limit(0), "k", "text").count() == 0
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.text(alphabet="ab.,!?)\"\n\n \t 　。、é😀[SEP]"))
+def test_places_are_those_of_the_patterns(text):
+    patterns = (r"\S(?=[^\S\n]*\n\s*\n)", r"\[SEP\]|\S(?=[^\S\n]*\n)", r"[.!?…][\"'”’)\]]*(?=\s)|[。！？]", r"[,;:](?=\s)|[，；、]", r"\S(?=\s)")
+    found, must = places(text)
+    for p, at in zip(patterns, found, strict=True):
+        assert at.tolist() == [m.end() for m in re.finditer(p, text)]
+    assert must.tolist() == [x for x in range(1, len(text)) if divides(text, x)]

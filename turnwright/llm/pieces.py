@@ -12,18 +12,29 @@ from pyspark.sql import functions as F
 
 from turnwright.llm.tokens import TOKENIZERS, Codec, codec, slices
 
-# Where a text divides, the strongest places first. A place is the end of a match.
-PLACES = (
-    re.compile(r"\S(?=[^\S\n]*\n\s*\n)"),
-    re.compile(r"\[SEP\]|\S(?=[^\S\n]*\n)"),
-    re.compile(r"[.!?…][\"'”’)\]]*(?=\s)|[。！？]"),
-    re.compile(r"[,;:](?=\s)|[，；、]"),
-    re.compile(r"\S(?=\s)"),
-)
+# Marks that end a line, a sentence and a clause. A place is the end of a match.
+BREAK = re.compile(r"\[SEP\]")
+SENTENCE = re.compile(r"[.!?…][\"'”’)\]]*(?=\s)|[。！？]")
+CLAUSE = re.compile(r"[,;:](?=\s)|[，；、]")
+#: By code point, the characters that are blanks of any kind; there are none behind these.
+BLANK = np.array([chr(i).isspace() for i in range(0x3001)] + [False])
 
 
-#: Places where a text must divide whatever surrounds it; see tokens.divides.
-DIVIDES = re.compile(r"(?<=\S)[ \n\t\r]")
+def places(text: str) -> tuple[list[np.ndarray], np.ndarray]:
+    """Where a text divides, the strongest kind first (paragraph, line or [SEP], sentence, clause, word), each as rising numbers of characters; and
+    where it must divide whatever surrounds it, see tokens.divides.
+
+    A word ends where a blank follows a non-blank; it ends a line or paragraph too if the blanks behind it hold one line end, or more than one.
+    """
+    code = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+    blank = BLANK[np.minimum(code, len(BLANK) - 1)]
+    word = np.flatnonzero(blank[1:] & ~blank[:-1]) + 1
+    again = np.append(np.flatnonzero(~blank[1:] & blank[:-1]) + 1, len(code))
+    ends = np.concatenate([[0], np.cumsum(code == 10)])  # line ends before each character
+    lines = ends[again[np.searchsorted(again, word, side="right")]] - ends[word] if len(word) else word
+    found = lambda kind: np.array([m.end() for m in kind.finditer(text)], dtype=np.int64)
+    must = word[np.isin(code[word], [32, 10, 9, 13])]
+    return [word[lines > 1], np.union1d(found(BREAK), word[lines > 0]), found(SENTENCE), found(CLAUSE), word], must
 
 
 def cut(text: str, c: Codec, limit: int, overlap: int) -> list[tuple[int, int, int, int, int, str]]:
@@ -41,12 +52,12 @@ def cut(text: str, c: Codec, limit: int, overlap: int) -> list[tuple[int, int, i
     raw = np.frombuffer(text.encode(), dtype=np.uint8)
     starts = np.append(np.flatnonzero((raw & 0xC0) != 0x80), len(raw))  # the byte at which each character begins
     whole = np.isin(ends, starts)  # tokens that begin at a character
+    found, must = places(text)
     kinds = []
-    for p in PLACES:
-        at = starts[np.array([m.end() for m in p.finditer(text)], dtype=np.int64)] if len(text) else np.zeros(0, np.int64)
+    for characters in found:
+        at = starts[characters]
         tok = np.searchsorted(ends, at)
         kinds.append(tok[ends[np.minimum(tok, len(ids))] == at])
-    must = np.array([m.start() for m in DIVIDES.finditer(text)], dtype=np.int64)  # characters
     at_must = np.searchsorted(ends, starts[must]) if len(must) else must  # the tokens that begin there
     out, s, n = [], 0, len(ids)
 
