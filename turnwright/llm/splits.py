@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from turnwright.operators.skew import salted_join
+from turnwright.operators.skew import hot_keys, salted_join
 from turnwright.session import drop_stage, stage
 
 #: Components that hold at least this share of all rows are placed first and one by one; there are at most 1 / LARGE of them.
@@ -25,9 +25,10 @@ def components(links: DataFrame, node: str, hub: str, most_rounds: int = 60) ->
     """
     e = stage(links.select(F.col(node).alias("n"), F.col(hub).alias("h")).where("n is not null and h is not null").distinct(), "p3-links")
     at = stage(e.groupBy("n").agg(F.min("n").alias("c")), "p3-at")
+    hot_n, hot_h = hot_keys(e, "n"), hot_keys(e, "h")
     for _ in range(most_rounds):
-        of_hub = salted_join(e, at, "n").groupBy("h").agg(F.min("c").alias("m"))
-        low = salted_join(e, of_hub, "h").groupBy("n").agg(F.min("m").alias("m"))
+        of_hub = salted_join(e, at, "n", hot=hot_n).groupBy("h").agg(F.min("c").alias("m"))
+        low = salted_join(e, of_hub, "h", hot=hot_h).groupBy("n").agg(F.min("m").alias("m"))
         near = stage(at.join(low, "n").select("n", F.least("c", "m").alias("c"), F.col("c").alias("was")), "p3-near")
         jump = near.select(F.col("n").alias("c"), F.col("c").alias("cc"))
         now = salted_join(near, jump, "c").select("n", F.col("cc").alias("c"), (F.col("cc") != F.col("was")).alias("moved"))
@@ -39,7 +40,7 @@ def components(links: DataFrame, node: str, hub: str, most_rounds: int = 60) ->
             break
     else:
         raise RuntimeError("components did not settle")
-    hubs = salted_join(e, at, "n").groupBy("h").agg(F.min("c").alias("component"))
+    hubs = salted_join(e, at, "n", hot=hot_n).groupBy("h").agg(F.min("c").alias("component"))
     return at.select(F.col("n").alias(node), F.col("c").alias("component")), hubs.select(F.col("h").alias(hub), "component")
 
 
