@@ -156,14 +156,14 @@ def spoken(df: DataFrame, call: str, speaker: str, text: str) -> DataFrame:
     d = df.withColumn("_text", without_stamps(F.col(text)))
     d = d.withColumn("_speaker", label_key(F.col(speaker))).withColumn("_opens", opening_label(F.col("_text")))
     there = F.col(text).rlike("[!-~] [!-~]") | present(F.col(text)).isNotNull()  # no stand-in has two words
-    d = stage(d.withColumn("_call", F.col(call)).withColumn("_there", there), "p7-labels")
-    found = d.where("_call is not null").select("_call", "_speaker", "_opens").distinct().select("_call", F.explode(F.array_compact(F.array("_speaker", "_opens"))).alias("_l"))
-    roles = found.distinct().groupBy("_call").agg(F.collect_list("_l").alias("_ls")).select("_call", _resolve("_ls").alias("_roles"))
-    d = salted_join(d, roles, "_call", "left")
+    d = stage(d.withColumn("_there", there), "p7-labels")
+    found = d.where(F.col(call).isNotNull()).select(call, "_speaker", "_opens").distinct().select(call, F.explode(F.array_compact(F.array("_speaker", "_opens"))).alias("_l"))
+    roles = found.distinct().groupBy(call).agg(F.collect_list("_l").alias("_ls")).select(call, _resolve("_ls").alias("_roles"))
+    d = salted_join(d, roles, call, "left").select(*df.columns, "_text", "_speaker", "_opens", "_there", "_roles")
     named = F.when(F.col("_speaker").isNotNull(), F.coalesce(F.element_at("_roles", F.col("_speaker")), F.lit("other")))
     d = d.withColumn("_by_text", F.element_at("_roles", F.col("_opens"))).withColumn("speaker_role", F.coalesce(named, "_by_text", F.lit("user")))
     said = F.when(F.col("_there"), clean_speech(F.col("_text"), F.col("_by_text").isNotNull()))
-    return d.withColumn("speech", said).drop("_text", "_speaker", "_opens", "_call", "_there", "_roles", "_by_text")
+    return d.withColumn("speech", said).drop("_text", "_speaker", "_opens", "_there", "_roles", "_by_text")
 
 
 def turn_rows(df: DataFrame, call: str, key: str, start_ms: str, end_ms: str, pause_ms: int = 1500, block_rows: int = BLOCK_ROWS) -> tuple[DataFrame, str | None]:
