@@ -11,7 +11,8 @@ def test_stream_matches_the_turns(spark, tmp_path):
         d = spark.createDataFrame(p, "CallID string, Speaker string, StartTime double, EndTime double, Transcript string").selectExpr("*", "timestamp_seconds(StartTime) as ts")
         d.coalesce(1).write.parquet(str(tmp_path / "in" / f"part={i}"))
     src = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(str(tmp_path / "in"))
-    q = stream_exchanges(src, "ts").writeStream.outputMode("append").format("memory").queryName("ex").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
-    q.awaitTermination(120)
+    q = stream_exchanges(src, "ts").writeStream.outputMode("append").format("memory").queryName("ex").option("checkpointLocation", str(tmp_path / "cp")).start()
+    q.processAllAvailable()
+    q.stop()
     got = sorted((r.StartTime, r.NumConsecutiveUserUtterances, r.UserEndTime) for r in spark.table("ex").collect())
     assert got == [(0.0, 2, 4.0), (6.0, 1, 7.5)]

@@ -42,6 +42,13 @@ def number_words(text: str) -> str:
     return ", ".join(said)
 
 
+@F.pandas_udf(T.StringType())
+def in_words(numbers: pd.Series) -> pd.Series:
+    """number_words() of each text; null for null."""
+    done: dict = {}
+    return pd.Series([None if t is None else done[t] if t in done else done.setdefault(t, number_words(t)) for t in numbers.where(numbers.notna(), None)])
+
+
 def _below_thousand(n: int) -> str:
     h, r = divmod(n, 100)
     rest = ONES[r] if r < 20 else TENS[r // 10] + (f" {ONES[r % 10]}" if r % 10 else "")

@@ -252,6 +252,18 @@ def number_words(spark, d):
     return user(spark, d).select(F.col("ord").alias("utt_id"), s.alias("s")).select("utt_id", "s.output", "s.key")
 
 
+_ones = "['" + "','".join(X.ONES) + "']"
+_tens = "['" + "','".join(X.TENS) + "']"
+_below = f"case when r < 20 then {_ones}[r + 1] when r % 10 = 0 then {_tens}[r // 10 + 1] else {_tens}[r // 10 + 1] || ' ' || {_ones}[r % 10 + 1] end"
+
+
+@query(f"""select o_orderkey, case when h = 0 then w when r = 0 then {_ones}[h + 1] || ' hundred' else {_ones}[h + 1] || ' hundred and ' || w end as words
+ from (select *, {_below} as w from (select o_orderkey, (o_orderkey % 1000) // 100 as h, o_orderkey % 100 as r from orders))""")
+def numbers_below_thousand(spark, d):
+    n = F.pmod(F.col("o_orderkey"), F.lit(1000)).cast("string")
+    return table(spark, d, "orders").select("o_orderkey", X.in_words(n).alias("words"))
+
+
 @query()
 def fuzzy_ratio(spark, d):
     a = agent(spark, d)
