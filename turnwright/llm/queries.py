@@ -120,6 +120,13 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return turns(_spoken(spark, d), "call", "utt_id", "s", "t").select("call_id", "speaker_role", "start_ms", "end_ms")
 
 
+def p7_merge(spark: SparkSession, d: str) -> DataFrame:
+    """Turns of the labels as they are, without clustering or cleaning."""
+    t = table(spark, d, "validated_user_transcript").where("Transcript is not null")
+    t = t.select("utt_id", call_id(F.col("CallID")).alias("call"), F.coalesce(F.lower(tidy(F.col("Speaker"))), F.lit("none")).alias("speaker_role"), millis(F.col("StartTime")).alias("s"), millis(F.col("EndTime")).alias("t"), F.col("Transcript").alias("speech"))
+    return turns(t, "call", "utt_id", "s", "t")
+
+
 def p8_ids(spark: SparkSession, d: str) -> DataFrame:
     return encode_column(table(spark, d, "documents"), "doc_id", "text")
 
@@ -128,17 +135,33 @@ def p9_containers(spark: SparkSession, d: str) -> DataFrame:
     return pack(count_tokens(table(spark, d, "documents"), "doc_id", "text"), "doc_id", "n_tokens", CAPACITY)
 
 
+def p9_items(spark: SparkSession, d: str) -> DataFrame:
+    """What becomes of each item when documents are packed by their characters: its pieces, what they hold together, and the fullest container."""
+    packed = pack(table(spark, d, "documents"), "doc_id", "n_chars", CAPACITY)
+    fill = stage(packed, "p9-packed")
+    full = fill.groupBy("container").agg(F.sum("n_tokens").alias("n"))
+    over = full.where(F.col("n") > CAPACITY).select("container", F.lit(1).alias("over"))
+    return fill.join(over, "container", "left").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_pieces"), F.sum("n_tokens").alias("n_chars"), F.count("over").alias("n_overfull"))
+
+
 def p10_pieces(spark: SparkSession, d: str) -> DataFrame:
     return split_texts(table(spark, d, "documents"), "doc_id", "text", LIMIT, OVERLAP)
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_items, p2_consensus, p2_raters, p3_found, p3_splits, p7_found, p7_turns, p8_ids, p9_containers, p10_pieces)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_items, p2_consensus, p2_raters, p3_found, p3_splits, p7_found, p7_turns, p7_merge, p8_ids, p9_containers, p9_items, p10_pieces)}
 
 _votes = f"(select log_id, IQMedian as q, list_sort([x for x in [IQRater1, IQRater2, IQRater3] if x between 1 and 5]) as v from {S.LOG})"
 _named = f"lower({S.tidy('split_name')})"
 _split = f"case when {_named} in ('train', 'training', 'trn') then 'train' when {_named} in ('validation', 'valid', 'val', 'dev', 'development') then 'validation' when {_named} in ('test', 'testing', 'tst') then 'test' end"
 
 SQL: dict[str, str] = {
+    "p7_merge": f"""with u as (select utt_id as k, {S.cid('CallID')} as c, coalesce(lower({S.tidy('Speaker')}), 'none') as w, {S.MS('StartTime')} as s, {S.MS('EndTime')} as t from {S.USER} where Transcript is not null),
+ v as (select *, lag(w) over p as b from u where c is not null and t > s window p as (partition by c order by s, t, k)),
+ x as (select *, count(*) filter (where b is null or b != w) over (partition by c order by s, t, k) as r from v),
+ y as (select *, max(t) over (partition by c, r order by s, t, k rows between unbounded preceding and 1 preceding) as m from x),
+ z as (select *, count(*) filter (where m is null or s > m + 1500) over (partition by c order by s, t, k) as n from y)
+ select c as call_id, w as speaker_role, min(s) as start_ms, max(t) as end_ms, count(*) as n_rows from z group by c, n, w""",
+    "p9_items": f"select doc_id, cast(greatest(1, ceil(n_chars / {CAPACITY}.0)) as bigint) as n_pieces, n_chars, 0::bigint as n_overfull from documents",
     "p2_items": f"""select log_id, q as IQMedian, cast(n as int) as n_votes, round((list_sum([list_sum([(case when x = y then 1 else 0 end) for y in v]) for x in v]) - n)::double / (n * (n - 1)), 6) as agreement
  from (select *, len(v) as n, v[(len(v) - 1) // 2 + 1] + v[len(v) // 2 + 1] as twice from {_votes}) where n >= 2 and (q is null or abs(2 * q - twice) != twice % 2)""",
     "p3_found": f"""with recursive t as (select {S.cid('CallID')} as c, caller_key as k, {_split} as p from (select distinct on (log_id) * from filtered_system_features)),
