@@ -1,3 +1,5 @@
+import time
+
 from turnwright.streaming.exchanges import stream_exchanges
 
 
@@ -12,7 +14,9 @@ def test_stream_matches_the_turns(spark, tmp_path):
         d.coalesce(1).write.parquet(str(tmp_path / "in" / f"part={i}"))
     src = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(str(tmp_path / "in"))
     q = stream_exchanges(src, "ts").writeStream.outputMode("append").format("memory").queryName("ex").option("checkpointLocation", str(tmp_path / "cp")).start()
-    q.processAllAvailable()
+    end = time.time() + 120
+    while spark.table("ex").count() < 2 and time.time() < end:  # waiting calls may time out at any moment, so the stream itself doesn't end
+        time.sleep(0.5)
     q.stop()
     got = sorted((r.StartTime, r.NumConsecutiveUserUtterances, r.UserEndTime) for r in spark.table("ex").collect())
     assert got == [(0.0, 2, 4.0), (6.0, 1, 7.5)]
