@@ -59,5 +59,11 @@ def test_columns(spark):
     assert tuple(r[2]) == ("", "", "semantic_no_match", False)
 
 
+def test_clean_agent_words(spark):
+    cases = {"take the 61c, THEN (STOP)": "take the 61C, Then (stop)", "CMU. I B2 A1B, x9y": "CMU. I B2 A1b, x9Y", "61c/62d": "61c/62d", "from 28x-54c now": "from 28x-54c now", "plain words": "plain words", "ÉTÉ 7e": "Été 7E", "12a!": "12A!"}
+    d = spark.createDataFrame(list(cases.items()), "a string, want string")
+    assert [(r.a, r.got) for r in d.select("a", X.clean_agent(F.col("a")).alias("got"), "want").collect()] == list(cases.items())
+
+
 def test_names():
     assert X.model_tag("a/all-MiniLM-L6") == "sbert" and X.model_tag("a/all-MiniLM-L6", False) == "all_MiniLM_L6" and X.pca_tag(0.9) == "9" and X.pca_tag(None) == ""

@@ -16,6 +16,14 @@ from turnwright.functions.parses import nested_counts
 ONES = "zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen".split()
 TENS = "zero ten twenty thirty forty fifty sixty seventy eighty ninety".split()
 SCALES = ["", "thousand", "million", "billion", "trillion", "quadrillion", "quintillion"]
+# What is said in words, in the order in which it is replaced: route names, hours of half a day, clock times, three digits, the rest;
+# and what doesn't count in matching keys.
+ROUTE = re.compile(r"\b(\d+)([a-zA-Z]+)\b")
+HALF_DAY = re.compile(r"\b(\d+)\s*(a\.?m\.?|p\.?m\.?)\b")
+CLOCK = re.compile(r"\b(\d{1,2}):(\d{2})\b")
+THREE = re.compile(r"\b(\d{3})\b")
+NUMBER = re.compile(r"\b(\d+)\b")
+NO_KEY = re.compile(r"[^a-z0-9\s]")
 #: An all-capital word that is a name and stays as it is.
 KEPT_CAPITALS = "CMU"
 
@@ -71,17 +79,17 @@ def spoken_form(text: str | None) -> tuple[str | None, str | None, str | None]:
     """(text, text with numbers in words, matching key). Route names come before a.m. and p.m., those before clock times."""
     if text is None:
         return None, None, None
-    t = re.sub(r"\b(\d+)([a-zA-Z]+)\b", lambda m: f"{number_words(m[1])} {m[2]}", text)
-    t = re.sub(r"\b(\d+)\s*(a\.?m\.?|p\.?m\.?)\b", lambda m: f"{number_words(m[1])} {' '.join(m[2])}", t)
-    t = re.sub(r"\b(\d{1,2}):(\d{2})\b", _clock, t)
-    t = re.sub(r"\b(\d{3})\b", _three, t)
-    t = re.sub(r"\b(\d+)\b", lambda m: number_words(m[1]), t)
+    t = ROUTE.sub(lambda m: f"{number_words(m[1])} {m[2]}", text)
+    t = HALF_DAY.sub(lambda m: f"{number_words(m[1])} {' '.join(m[2])}", t)
+    t = CLOCK.sub(_clock, t)
+    t = THREE.sub(_three, t)
+    t = NUMBER.sub(lambda m: number_words(m[1]), t)
     t = re.sub(r"\s+", " ", t).strip()
     return text, t, matching_key(t)
 
 
 def matching_key(text: str) -> str:
-    return re.sub(r"\s+", " ", re.sub(r"[^a-z0-9\s]", " ", text.lower())).strip()
+    return re.sub(r"\s+", " ", NO_KEY.sub(" ", text.lower())).strip()
 
 
 @F.pandas_udf(T.StructType([T.StructField(n, T.StringType()) for n in ("raw", "output", "key")]))
@@ -128,16 +136,24 @@ def tidy_blanks(c: Column) -> Column:
 
 
 def clean_agent(c: Column) -> Column:
-    """Agent text: blanks tidied, all-capital words in title case, letters behind route numbers in capitals."""
+    """Agent text: blanks tidied, the letter behind a route number in capitals wherever the number stands, all-capital words in title case.
+
+    What a word is compared by ends with its last letter, digit or underscore; marks behind that stay as they are.
+    """
+    t = tidy_blanks(c)
+    routes = t
+    for letter in "abcdefghijklmnopqrstuvwxyz":
+        routes = F.regexp_replace(routes, rf"(?U)(?<=\d){letter}(?!\w)", letter.upper())
+    t = F.when(t.rlike(r"(?U)\d[a-z](?!\w)"), routes).otherwise(t)
 
     def word(w: Column) -> Column:
-        core = F.regexp_replace(w, "[^A-Za-z]", "")
-        shout = (F.length(w) > 1) & (core != "") & (F.upper(w) == w) & (core != KEPT_CAPITALS) & ~w.rlike("[0-9]")
-        title = F.concat(F.substring(w, 1, 1), F.lower(F.substring(w, 2, 1_000_000)))
-        route = F.concat(F.regexp_extract(w, "^([^0-9]*[0-9]+)([a-z])(.*)$", 1), F.upper(F.regexp_extract(w, "^([^0-9]*[0-9]+)([a-z])(.*)$", 2)), F.regexp_extract(w, "^([^0-9]*[0-9]+)([a-z])(.*)$", 3))
-        return F.when(shout, title).when(w.rlike("^[^0-9]*[0-9]+[a-z]([^A-Za-z0-9]|$)"), route).otherwise(w)
+        core = F.regexp_replace(w, r"(?U)\W+$", "")
+        tail = F.substr(w, F.length(core) + 1)
+        shout = (F.length(core) > 1) & (F.upper(core) == core) & (F.lower(core) != core) & (core != KEPT_CAPITALS)
+        title = F.concat(F.upper(F.substring(core, 1, 1)), F.lower(F.substr(core, F.lit(2))), tail)
+        return F.when(core.rlike(r"(?U)^\d+[a-zA-Z]$"), F.concat(F.upper(core), tail)).when(shout, title).otherwise(w)
 
-    return F.array_join(F.transform(F.split(tidy_blanks(c), " "), word), " ")
+    return F.when(t.rlike(r"(?U)[\p{Lu}\d]"), F.array_join(F.transform(F.split(t, " "), word), " ")).otherwise(t)
 
 
 def has_word(c: Column, word: str) -> Column:

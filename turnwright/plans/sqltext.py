@@ -40,11 +40,13 @@ def finite(c: str) -> str:
 
 
 def agent_text(c: str) -> str:
-    core = "regexp_replace(w, '[^A-Za-z]', '', 'g')"
-    shout = f"length(w) > 1 and {core} != '' and upper(w) = w and {core} != 'CMU' and not regexp_matches(w, '[0-9]')"
-    pat = "^([^0-9]*[0-9]+)([a-z])(.*)$"
-    fix = f"regexp_extract(w, '{pat}', 1) || upper(regexp_extract(w, '{pat}', 2)) || regexp_extract(w, '{pat}', 3)"
-    return f"array_to_string(list_transform(string_split({blanks(c)}, ' '), lambda w: case when {shout} then w[1] || lower(w[2:]) when regexp_matches(w, '^[^0-9]*[0-9]+[a-z]([^A-Za-z0-9]|$)') then {fix} else w end), ' ')"
+    t = blanks(c)
+    for x in "abcdefghijklmnopqrstuvwxyz":
+        t = rf"regexp_replace({t}, '([0-9]){x}([^\pL\pN_]|$)', '\1{x.upper()}\2', 'g')"
+    core = r"regexp_replace(w, '[^\pL\pN_]+$', '')"
+    tail = f"w[length({core}) + 1:]"
+    shout = f"length({core}) > 1 and upper({core}) = {core} and lower({core}) != {core} and {core} != 'CMU'"
+    return f"array_to_string(list_transform(string_split({t}, ' '), lambda w: case when regexp_full_match({core}, '[0-9]+[a-zA-Z]') then upper({core}) || {tail} when {shout} then upper({core}[1]) || lower({core}[2:]) || {tail} else w end), ' ')"
 
 
 def prompt(c: str) -> str:
