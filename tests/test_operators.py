@@ -6,11 +6,12 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+import turnwright.__main__ as cli
 from turnwright.functions import text as X
 from turnwright.functions import words as W
 from turnwright.operators import align, cleaning, exchange, features, joins, metrics, partitions, signal, stats
 from turnwright.plans import catalogue
-from turnwright.sources import readers, writers
+from turnwright.sources import paths, readers, writers
 
 
 def rows(df):
@@ -250,6 +251,14 @@ def test_nested_counts_and_first_keys(spark):
     assert all((next(iter(n), "") == r[i].k) for i, n in enumerate(want))
 
 
+def test_command_line(spark, tmp_path, capsys):
+    assert cli.main([]) == 0 and "turn_taking" in capsys.readouterr().out and cli.main(["nothing"]) == 2
+    out = str(tmp_path / "o")
+    assert cli.main(["holm_correction", "--base", "/root/testdata", "--data", "sf0.001", "--out", out]) == 0
+    assert spark.read.parquet(out).count() == 25
+    assert paths.resolve("/a", "b/c") == "/a/b/c" and paths.resolve("/a", "/b") == "/b" and paths.resolve("/a", "s3://b") == "s3://b"
+
+
 def test_vectors_are_taken_whole(spark, tmp_path):
     d = spark.createDataFrame([(1, [float(i) for i in range(70)]), (2, [3.0]), (3, [])], "vec_id bigint, embedding array<float>")
     d.write.parquet(str(tmp_path / "embeddings.parquet"))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from turnwright.functions.ids import usable
 from turnwright.functions.text import clean_agent, tidy_blanks
 from turnwright.operators.cleaning import safe_ratio
+from turnwright.operators.joins import with_files
 from turnwright.operators.ordered import BLOCK_ROWS, blocked, running
 from turnwright.session import stage
 
@@ -126,3 +127,11 @@ def turn_taking(e: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
         "UserInterruptsAgent": over & (said < asked),
         "PromptCompletionRatio": F.when(asked > 0, said / asked).when(said == 0, 1.0).otherwise(0.0),
     }).drop("_s", "_blk", "_p", "_prev")
+
+
+def training_index(e: DataFrame, files: DataFrame, file_key: str, path: str) -> DataFrame:
+    """What fine-tuning needs of exchanges: (CallID, turn_id, StartTime, EndTime, text, label, path), label counted from 0 and path the recording of
+    the call. Exchanges without label, times or recording are left out; features and ids stay joinable by CallID and turn_id."""
+    d = with_files(e, files, "CallID", file_key, path)
+    d = d.where(f"IQMedian is not null and StartTime is not null and EndTime is not null and `{path}` is not null")
+    return d.select("CallID", "turn_id", "StartTime", "EndTime", F.col("CombinedTranscript").alias("text"), (F.col("IQMedian") - 1).alias("label"), path)

@@ -13,6 +13,7 @@ from turnwright.functions.ids import call_id, present, usable
 from turnwright.operators import align, cleaning, evaluation, exchange, features, joins, metrics, partitions, signal, stats
 from turnwright.operators.ordered import fill_ordered, place
 from turnwright.plans import sqltext as S
+from turnwright.session import stage
 from turnwright.sources import readers, writers
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -317,6 +318,12 @@ def turn_taking(spark, d):
     return t.select("CallID", "turn_id", *[F.round(c, 4).alias(c) for c in _tt], "UserIsOverlap", "AgentIsOverlap", "UserInterruptsAgent")
 
 
+@query(f"select CallID, turn_id, StartTime, EndTime, CombinedTranscript as text, IQMedian - 1 as label, path from {_ex} join (select filecode, max(dyad_path) as path from audio_inventory group by filecode) on CallID = filecode where IQMedian is not null and StartTime is not null and EndTime is not null and path is not null")
+def training_index(spark, d):
+    e = stage(exchange.exchanges(_utterances(spark, d)), "exchanges")
+    return exchange.training_index(e, table(spark, d, "audio_inventory").select("filecode", F.col("dyad_path").alias("path")), "filecode", "path")
+
+
 # ---- alignment
 
 _seg = f"(select c, id as id, s, e from {_u} union all select c, -id, s, e from {_a})"

@@ -8,6 +8,7 @@ from pyspark.sql import types as T
 
 from turnwright.operators.cleaning import VOCABULARY, apply_vocabulary
 from turnwright.operators.metrics import union_results
+from turnwright.sources.paths import files_below
 
 WORD = "struct<word: string, start: double, end: double, speaker: string>"
 MIXED = f"segments array<struct<start: double, end: double, text: string, words: array<{WORD}>>>"
@@ -34,7 +35,7 @@ def read_results(spark: SparkSession, paths: list[str]) -> DataFrame:
 
     Files are read by their own headers, those with equal headers together. Columns of RESULT_NUMBERS are doubles, null where a text is no number.
     """
-    files = sorted({r.path for p in paths for r in spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.csv").load(p).select("path").collect()})
+    files = sorted({f for p in paths for f in files_below(spark, p, ".csv")})
     by_header: dict[tuple[str, ...], list[str]] = {}
     for f in files:
         by_header.setdefault(tuple(spark.read.option("header", True).csv(f).columns), []).append(f)
