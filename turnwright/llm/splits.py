@@ -19,13 +19,26 @@ TOGETHER = 4000
 def components(links: DataFrame, node: str, hub: str, most_rounds: int = 60) -> tuple[DataFrame, DataFrame]:
     """Connected components of the bipartite links (node, hub), both text: (node, component) and (hub, component).
 
-    Each round a node takes the smallest component among all nodes with which it shares a hub, and then the component of that component, so
-    distances halve. A component is named by its smallest node. Links with a null end, and repeated ones, change nothing. Only as many rounds
-    run as the components need; the links of a hot hub are spread over many tasks.
+    Nodes with one hub can't join components, so rounds run over the links of the others only. Each round a node takes the smallest component
+    among all nodes with which it shares a hub, and then the component of that component, so distances halve; as many rounds run as are needed.
+    All other nodes then follow their hub. A component is named by its smallest node. Links with a null end, and repeated ones, change nothing.
+    The links of a hot hub, and the nodes of a hot component, are spread over many tasks.
     """
     e = stage(links.select(F.col(node).alias("n"), F.col(hub).alias("h")).where("n is not null and h is not null").distinct(), "p3-links")
-    at = stage(e.groupBy("n").agg(F.min("n").alias("c")), "p3-at")
     hot_n, hot_h = hot_keys(e, "n"), hot_keys(e, "h")
+    several = e.groupBy("n").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("n")
+    core = stage(salted_join(e, several, "n", hot=hot_n), "p3-core")
+    of_hub = _settled(core, hot_n, hot_h, most_rounds)
+    e = salted_join(e, of_hub.withColumnRenamed("m", "g"), "h", "left", hot=hot_h)
+    e = stage(e.select("n", "h", F.coalesce("g", F.concat(F.lit("\u0000"), "h")).alias("g")), "p3-grouped")  # a hub of its own is no node's name
+    names = e.groupBy("g").agg(F.min("n").alias("component"))
+    named = lambda c: salted_join(stage(e.groupBy(c).agg(F.min("g").alias("g")), "p3-named"), names, "g")
+    return named("n").select(F.col("n").alias(node), "component"), named("h").select(F.col("h").alias(hub), "component")
+
+
+def _settled(e: DataFrame, hot_n: DataFrame | None, hot_h: DataFrame | None, most_rounds: int) -> DataFrame:
+    """(h, m): the smallest node of the component of each hub of the links e."""
+    at = stage(e.groupBy("n").agg(F.min("n").alias("c")), "p3-at")
     for _ in range(most_rounds):
         of_hub = salted_join(e, at, "n", hot=hot_n).groupBy("h").agg(F.min("c").alias("m"))
         low = salted_join(e, of_hub, "h", hot=hot_h).groupBy("n").agg(F.min("m").alias("m"))
@@ -37,11 +50,8 @@ def components(links: DataFrame, node: str, hub: str, most_rounds: int = 60) ->
         drop_stage(at)
         at = now.select("n", "c")
         if not now.where("moved").limit(1).count():
-            break
-    else:
-        raise RuntimeError("components did not settle")
-    hubs = salted_join(e, at, "n", hot=hot_n).groupBy("h").agg(F.min("c").alias("component"))
-    return at.select(F.col("n").alias(node), F.col("c").alias("component")), hubs.select(F.col("h").alias(hub), "component")
+            return salted_join(e, at, "n", hot=hot_n).groupBy("h").agg(F.min("c").alias("m"))
+    raise RuntimeError("components did not settle")
 
 
 def place(vectors: np.ndarray, need: np.ndarray) -> np.ndarray:
