@@ -1,5 +1,6 @@
 import json
 import random
+import time
 
 import duckdb
 import numpy as np
@@ -139,6 +140,39 @@ def test_alignment(spark):
     assert [(p, a, n) for p, a, n, _ in got] == [(0, 1, 2), (1, 3, 1)]
 
 
+SIDE = "CallID string, id bigint, start double, `end` double, text string"
+
+
+def test_user_segments_against_all_pairs(spark):
+    r = random.Random(3)
+    texts = ["yes", "yes", "yes please", "no", "next bus", "next buss", "the next bus", "", None]
+
+    def side(n, first):
+        return [(r.choice("cd"), first + k, x := r.choice([None, float("nan"), *(i / 4 for i in range(30))]), None if x is None else x + r.choice([0.5, 0.75, 1.5]), r.choice(texts)) for k in range(n)]
+
+    seg, use = side(300, 1), side(250, -100)
+    known = lambda d: sorted((x for x in d if x[2] is not None and x[2] == x[2] and x[4] is not None), key=lambda x: (x[2], x[1]))
+    taken, expected = set(), []
+    for c, i, a, b, t in known(seg):
+        for c2, i2, a2, b2, t2 in known(use):
+            if c == c2 and (c, i2) not in taken and abs(a - a2) <= 0.5 and abs(b - b2) <= 0.5 and X.ratio(t, t2) >= 80:
+                taken.add((c, i2))
+                expected.append((c, i, i2))
+                break
+    assert len(expected) > 100
+    for block_rows in (20, 200_000):
+        assert rows(align.user_segments(spark.createDataFrame(seg, SIDE), spark.createDataFrame(use, SIDE), block_rows=block_rows)) == sorted(expected, key=repr)
+
+
+def test_user_segments_take_no_time_for_each_cluster_nor_each_pair_of_equal_rows(spark):
+    n, m = 30_000, 4_000
+    d = spark.range(n).selectExpr("concat('c', id % 2000) as CallID", "id", "id * 1D as start", "id + 0.5D as `end`", "concat('utterance ', id) as text")
+    d = d.unionByName(spark.range(n, n + m).selectExpr("'hot' as CallID", "id", "1D as start", "2D as `end`", "'yes' as text"))
+    began = time.time()
+    assert align.user_segments(d, d).where("seg_id = user_id").count() == n + m
+    assert time.time() - began < 60
+
+
 def long_call(n, seed, words=4):
     """n prompts, and 2.4 segments each: the agent's, some cut, divided, lost or late, and the user's between them."""
     r = random.Random(seed)

@@ -5,14 +5,16 @@ from __future__ import annotations
 from collections import defaultdict
 from collections.abc import Iterator
 from heapq import heapify, heappop, heappush
+from itertools import groupby
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from turnwright.functions.text import matching_key, ratio, similarity, spoken_form
-from turnwright.operators.ordered import blocked, running
+from turnwright.operators.ordered import BLOCK_ROWS, blocked, running
 
 TOLERANCE_S, TEXT_RATIO = 0.5, 80.0
 WINDOW_RATIO, WORD_RATIO, FULL_SCORE, MOST_SEGMENTS, NEAR = 60.0, 60.0, 95.0, 5, 5
@@ -20,47 +22,92 @@ WINDOW_RATIO, WORD_RATIO, FULL_SCORE, MOST_SEGMENTS, NEAR = 60.0, 60.0, 95.0, 5,
 Word = tuple[str, str | None, float | None, float | None]
 
 
+def _cells(segments: DataFrame, users: DataFrame, tolerance: float) -> tuple[DataFrame, DataFrame]:
+    """segments (CallID, seg_start, ...) and users (CallID, user_start, ...) with _c, cells of time four times as wide as the tolerance in which they
+    meet, so a hot call is split by time. A user is in every cell, one or two, where a segment may be near it."""
+    cell = lambda c, by: F.floor((F.col(c) + by * tolerance) / (4 * tolerance))
+    reach = F.sequence(cell("user_start", -1.01), cell("user_start", 1.01))  # a little wider, as sums are rounded
+    return segments.withColumn("_c", cell("seg_start", 0)), users.withColumn("_c", F.explode(reach))
+
+
+def _near(segments: DataFrame, users: DataFrame, tolerance: float) -> DataFrame:
+    """Rows of segments and users, in cells, whose starts and ends both differ by at most tolerance."""
+    j = segments.join(users, ["CallID", "_c"])
+    return j.where((F.abs(F.col("seg_start") - F.col("user_start")) <= tolerance) & (F.abs(F.col("seg_end") - F.col("user_end")) <= tolerance))
+
+
+def _side(df: DataFrame, n: str, *columns: str) -> DataFrame:
+    """CallID and the columns, named after the side, of rows with call and times."""
+    return df.where("CallID is not null and start is not null and `end` is not null").select("CallID", *[F.col(c).alias(f"{n}_{c}") for c in ("id", "start", "end", *columns)])
+
+
 def near_in_time(segments: DataFrame, users: DataFrame, tolerance: float = TOLERANCE_S) -> DataFrame:
     """Pairs (CallID, seg_id, user_id, seg_start, user_start) whose starts and ends both differ by at most tolerance.
 
-    segments and users have CallID, id, start, end. Rows are met in cells of time as wide as the tolerance, so a hot call is split by time.
+    segments and users have CallID, id, start, end.
     """
-    cell = lambda c: F.floor(F.col(c) / tolerance)
-    s = segments.where("CallID is not null and start is not null and `end` is not null").select("CallID", F.col("id").alias("seg_id"), F.col("start").alias("seg_start"), F.col("end").alias("seg_end"), cell("start").alias("_c"))
-    u = users.where("CallID is not null and start is not null and `end` is not null").select("CallID", F.col("id").alias("user_id"), F.col("start").alias("user_start"), F.col("end").alias("user_end"), cell("start").alias("_u"))
-    u = u.withColumn("_c", F.explode(F.sequence(F.col("_u") - 2, F.col("_u") + 2))).drop("_u")
-    j = s.join(u, ["CallID", "_c"])
-    j = j.where((F.abs(F.col("seg_start") - F.col("user_start")) <= tolerance) & (F.abs(F.col("seg_end") - F.col("user_end")) <= tolerance))
-    return j.select("CallID", "seg_id", "user_id", "seg_start", "user_start")
+    s, u = _cells(_side(segments, "seg"), _side(users, "user"), tolerance)
+    return _near(s, u, tolerance).select("CallID", "seg_id", "user_id", "seg_start", "user_start")
 
 
-def user_segments(segments: DataFrame, users: DataFrame, tolerance: float = TOLERANCE_S, least: float = TEXT_RATIO) -> DataFrame:
+def user_segments(segments: DataFrame, users: DataFrame, tolerance: float = TOLERANCE_S, least: float = TEXT_RATIO, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """(CallID, seg_id, user_id): each segment, in order of start, takes the first user utterance near it whose text is alike and not taken.
 
-    Candidates of a call that are more than twice the tolerance apart in time can't compete; each such cluster is settled on its own.
+    segments and users have CallID, id (unique within the call), start, end, text. Rows of a side with equal call, times and text are met and
+    compared once, as one with many ids, so n such rows on both sides make n picks and not n * n pairs. Each task settles its calls in one pass.
+    Candidates of a call that are more than twice the tolerance apart in time can't compete: a call with more than block_rows pairs is cut into
+    clusters there, which go to several tasks.
     """
-    pairs = near_in_time(segments, users, tolerance)
-    pairs = pairs.join(segments.select(F.col("id").alias("seg_id"), F.col("text").alias("a")), "seg_id").join(users.select(F.col("id").alias("user_id"), F.col("text").alias("b")), "user_id")
-    n = F.length("a") + F.length("b")
-    able = (n == 0) | (F.least(F.length("a"), F.length("b")) * 200.0 >= n * least)  # the length alone rules out most
-    pairs = pairs.where(able).withColumn("r", similarity("a", "b")).where(F.col("r") >= least).select("CallID", "seg_id", "user_id", "seg_start", "user_start")
-    order = ["seg_start", "seg_id", "user_start", "user_id"]
-    d, b = blocked(pairs, ["CallID"], order, "align-pairs")
-    start = running(d, ["CallID"], b, order, F.col("seg_start"), "max", "_p")
-    start = start.withColumn("_n", F.when(F.col("_p").isNull() | (F.col("seg_start") > F.col("_p") + 4 * tolerance), F.struct("seg_start", "seg_id"))).drop("_p")
-    clusters = running(start, ["CallID"], b, order, F.col("_n"), "last", "cluster", inclusive=True)
-
-    def greedy(f: pd.DataFrame) -> pd.DataFrame:
-        f = f.sort_values(["seg_start", "seg_id", "user_start", "user_id"])
-        segs, used, rows = set(), set(), []
-        for call, s, u in zip(f["CallID"], f["seg_id"], f["user_id"], strict=True):
-            if s not in segs and u not in used:
-                segs.add(s)
-                used.add(u)
-                rows.append((call, s, u))
-        return pd.DataFrame(rows, columns=["CallID", "seg_id", "user_id"])
-
-    return clusters.groupBy("CallID", "cluster").applyInPandas(greedy, "CallID string, seg_id bigint, user_id bigint")
+    def met(d: DataFrame, n: str) -> DataFrame:
+        ids = F.array_sort(F.collect_set(f"{n}_id")).alias(f"{n}_ids")
+        return d.where(F.col(f"{n}_text").isNotNull()).repartition("CallID", "_c").groupBy("CallID", "_c", f"{n}_start", f"{n}_end", f"{n}_text").agg(ids)
+
+    s, u = _cells(_side(segments, "seg", "text"), _side(users, "user", "text"), tolerance)
+    pairs = _near(met(s, "seg"), met(u, "user"), tolerance)
+    a, b = F.col("seg_text"), F.col("user_text")
+    n = F.length(a) + F.length(b)
+    able = (n == 0) | (F.least(F.length(a), F.length(b)) * 200.0 >= n * least)  # the length alone rules out most
+    r = F.coalesce(F.when(a == b, 100.0), similarity(F.when(a != b, a), F.when(a != b, b)))  # equal texts stay out of Python
+    first = {"seg_id": F.col("seg_ids")[0], "user_id": F.col("user_ids")[0]}
+    pairs = pairs.where(able).withColumn("r", r).where(F.col("r") >= least).withColumns(first).select("CallID", "seg_start", "seg_id", "user_start", "user_id", "seg_ids", "user_ids")
+    keys, order = ["CallID"], ["seg_start", "seg_id", "user_start", "user_id"]
+    d, b = blocked(pairs, keys, order, "align-pairs", block_rows)
+    if b:
+        d = running(d, keys, b, order, F.col("seg_start"), "max", "_p")
+        d = d.withColumn("_n", F.when(F.col("_p").isNull() | (F.col("seg_start") > F.col("_p") + 4 * tolerance), F.struct("seg_start", "seg_id"))).drop("_p")
+        d, keys = running(d, keys, b, order, F.col("_n"), "last", "cluster", inclusive=True), ["CallID", "cluster"]
+    return d.repartition(*keys).select("CallID", *order, "seg_ids", "user_ids").sortWithinPartitions("CallID", *order).mapInArrow(_greedy, _TAKEN)
+
+
+_TAKEN = "CallID string, seg_id bigint, user_id bigint"
+
+
+def _greedy(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Settles pairs sorted by call, start of the segment, segment, start of the user and user. Rows that begin together take turns by id; of
+    the users that are alike the one that began first is taken, then by id, so the ids of equal users go in their order and a count is enough."""
+    table = lambda out: pa.RecordBatch.from_arrays([pa.array(x, type=t) for x, t in zip(zip(*out, strict=True), (pa.string(), pa.int64(), pa.int64()), strict=True)], names=["CallID", "seg_id", "user_id"])
+    rows = (r for batch in batches for r in zip(*(c.to_pylist() for c in batch.columns), strict=True))
+    taken: dict[int, int] = {}
+    last, out = None, []
+    for (call, _), group in groupby(rows, key=lambda r: (r[0], r[1])):
+        if call != last:
+            taken, last = {}, call
+        ids: dict[int, list[int]] = {}
+        alike: dict[int, list[tuple[float, int, list[int]]]] = defaultdict(list)
+        for _, _, s, user_start, u, seg_ids, user_ids in group:
+            ids[s] = seg_ids
+            alike[s].append((user_start, u, user_ids))
+        for i, s in sorted((i, s) for s in ids for i in ids[s]):
+            left = alike[s] = [x for x in alike[s] if taken.get(x[1], 0) < len(x[2])]
+            if left:
+                _, user, u = min((user_start, user_ids[taken.get(u, 0)], u) for user_start, u, user_ids in left)
+                taken[u] = taken.get(u, 0) + 1
+                out.append((call, i, user))
+        if len(out) >= 10_000:
+            yield table(out)
+            out = []
+    if out:
+        yield table(out)
 
 
 def window_candidates(prompt: str, segments: list[str], taken: list[bool], at: int, effective: list[int], prompt_at: int, known: dict[tuple[str, str], float] | None = None) -> Iterator[tuple[float, int, int]]:
